@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import nested, reconcile
+from .operators import drift, nested, reconcile
 from .operators.reconcile import FLAG, NUMBER, STAMP, TEXT
 from .session import load
 
@@ -73,3 +73,18 @@ def _sql_p4() -> str:
 
 QUERIES = {"p2_found": p2_found, "p2_children": p2_children, "p2_lines": p2_lines, "p2_costs": p2_costs, "p2_points": p2_points, "p4_found": p4_found, "p4_differences": p4_differences}
 ORACLE = {"p4_found": _sql_p4()}
+
+
+def _run_lines(spark, sf_dir):
+    return load(spark, sf_dir, "run_files").select("feed_id", "file_id", "file_name", "written_at", "line_no", "raw_line")
+
+
+def p3_found(spark, sf_dir):
+    return drift.changes(_run_lines(spark, sf_dir))
+
+
+def p3_table(spark, sf_dir):
+    return drift.consistent_table(_run_lines(spark, sf_dir))
+
+
+QUERIES |= {"p3_found": p3_found, "p3_table": p3_table}
