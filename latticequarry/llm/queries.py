@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import cut, load
-from . import components, lookalike, survivor
+from . import components, language, lookalike, survivor
 
 
 def _groups(spark, sf_dir):
@@ -42,7 +42,25 @@ def p6_survivors(spark, sf_dir):
     return survivor.survivors(_won(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_survivors": p6_survivors}
+def _segments(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.segments(docs, language.fit(docs))
+
+
+def p10_found(spark, sf_dir):
+    return language.wrong_labels(_segments(spark, sf_dir))
+
+
+def p10_segments(spark, sf_dir):
+    return _segments(spark, sf_dir)
+
+
+def p10_documents(spark, sf_dir):
+    return language.document_languages(_segments(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_survivors": p6_survivors,
+           "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 
 _REACH = (
     "WITH RECURSIVE e AS (SELECT left_id AS a, right_id AS b FROM hit_pairs WHERE is_match AND left_id <> right_id "
