@@ -28,6 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as there are cores, for steps that cost far more than a shuffle.
+
+    Inputs that already have enough partitions aren't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def build_session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session with the settings the engine expects (AQE, Arrow, UTC)."""
     return (
