@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import cut, load
-from . import components, language, lookalike, survivor
+from . import components, language, lookalike, matching, mixing, packing, survivor, tokens
 
 
 def _groups(spark, sf_dir):
@@ -42,6 +42,33 @@ def p6_survivors(spark, sf_dir):
     return survivor.survivors(_won(spark, sf_dir))
 
 
+def p7_matches(spark, sf_dir):
+    hits = load(spark, sf_dir, "hits_addendum").select("hit_id", "title", "year", "venue", "doi")
+    return matching.matches(hits, load(spark, sf_dir, "db_records").select("rec_id", "title", "year", "venue", "doi"))
+
+
+def p7_found(spark, sf_dir):
+    return p7_matches(spark, sf_dir).select("hit_id", "rec_id")
+
+
+def p8_contents(spark, sf_dir):
+    sized = tokens.token_counts(load(spark, sf_dir, "documents"), ["doc_id"])
+    return packing.contents(sized, load(spark, sf_dir, "pack_capacities"))
+
+
+def p8_containers(spark, sf_dir):
+    return packing.containers(p8_contents(spark, sf_dir), load(spark, sf_dir, "pack_capacities"))
+
+
+def p9_mixture(spark, sf_dir):
+    sized = cut(tokens.token_counts(load(spark, sf_dir, "documents"), ["doc_id", "source"]))
+    return mixing.mixture(sized, load(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark, sf_dir):
+    return mixing.shares(p9_mixture(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
+
+
 def _segments(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.segments(docs, language.fit(docs))
@@ -60,7 +87,7 @@ def p10_documents(spark, sf_dir):
 
 
 QUERIES = {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_survivors": p6_survivors,
-           "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
+           "p7_found": p7_found, "p7_matches": p7_matches, "p8_contents": p8_contents, "p8_containers": p8_containers, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 
 _REACH = (
     "WITH RECURSIVE e AS (SELECT left_id AS a, right_id AS b FROM hit_pairs WHERE is_match AND left_id <> right_id "
