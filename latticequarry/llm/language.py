@@ -169,8 +169,8 @@ def train(labelled: pd.DataFrame, epochs: int = 30, margin: float = 0.2, sure: f
 
     def bundles(weight: np.ndarray) -> np.ndarray:
         """Sums of unit sentence vectors by language; weight: (sentences, languages)."""
-        w = (weight / np.sqrt(np.maximum(n, 1))[:, None])[which]
-        return np.array([np.bincount(g, weights=w[:, k], minlength=len(ids)).astype(np.float32) @ vec for k in range(w.shape[1])])
+        unit = 1 / np.sqrt(np.maximum(n, 1))
+        return np.array([np.bincount(g, weights=(weight[:, k] * unit)[which], minlength=len(ids)).astype(np.float32) @ vec for k in range(weight.shape[1])])
 
     def cosines(v: np.ndarray) -> np.ndarray:
         unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
