@@ -95,13 +95,16 @@ def previous_files(fields: DataFrame) -> DataFrame:
     return files.select("feed_id", "file_id", F.lag("file_id").over(w).alias("prev_id")).where("prev_id IS NOT NULL")
 
 
+#: A number with at most three other characters before it and five after it, such as a unit.
+WITH_UNIT = r"^[^0-9.+-]{0,3}([+-]?[0-9]+[.]?[0-9]*(?:[eE][+-]?[0-9]+)?)[^0-9]{0,5}$"
+
+
 def normal_value() -> Column:
     """A value without its notation: the number in it as a double, else lower-case text."""
-    number = F.regexp_extract("value", r"([+-]?\d+\.?\d*(?:[eE][+-]?\d+)?)", 1)
+    number = F.regexp_extract("value", WITH_UNIT, 1)
+    as_double = F.expr(f"try_cast(regexp_extract(value, '{WITH_UNIT}', 1) AS double)")
     plain = F.lower(F.trim("value"))
-    as_number = F.expr("try_cast(regexp_extract(value, '([+-]?\\\\d+\\\\.?\\\\d*(?:[eE][+-]?\\\\d+)?)', 1) AS double)")
-    unit = F.length(F.col("value")) - F.length(number) <= 5
-    return F.when(F.col("kind").isNull(), None).when(F.col("kind") == "number", F.expr("try_cast(value AS double)").cast("string")).when((F.col("kind") == "text") & (number != "") & unit, as_number.cast("string")).otherwise(plain)
+    return F.when(F.col("kind").isNull(), None).when(F.col("kind") == "number", F.expr("try_cast(value AS double)").cast("string")).when((F.col("kind") == "text") & (number != ""), as_double.cast("string")).otherwise(plain)
 
 
 def shared_rows(cells: DataFrame, pairs: DataFrame) -> DataFrame:
