@@ -95,6 +95,12 @@ def test_matching_pairs(spark):
     assert matching.matches(hits.limit(0), recs).collect() == [] == matching.matches(hits, recs.limit(0)).collect()
 
 
+def test_titles_meet_as_often_at_any_size():
+    s = matching.Settings()
+    meet = [1 - (1 - s.side**b) ** matching.table_count(b, s) for b in (8, 11, 15, 19)]
+    assert max(meet) - min(meet) < 0.01 and meet[0] > 0.95
+
+
 def test_sum_of_squares_by_brute_force():
     rnd = random.Random(3)
     sizes, cap = [rnd.randrange(1, 11) for _ in range(60)], 10
