@@ -95,6 +95,15 @@ def test_matching_pairs(spark):
     assert matching.matches(hits.limit(0), recs).collect() == [] == matching.matches(hits, recs.limit(0)).collect()
 
 
+def test_many_mistyped_words_are_related(spark):
+    a = "nuremlo | zahlung von verdichteten basen uber mehrere ebenen oohne kandidaten"
+    b = "nuremlo | zhalung von verdichteten baasen uberm ehrere ebenen ohne kandidaten"
+    assert matching.relate(a, b)[0] == "equal"
+    rows = [("h", 1, a), ("r", 2, b), ("r", 3, "trees of other kinds for people with much time")]
+    df = spark.createDataFrame([(s, i, n, None, None) for s, i, n in rows], "side string, cid long, norm string, venue string, year int")
+    assert [(r["h"], r["r"]) for r in matching.title_pairs(df, matching.Settings(tables=60)).collect()] == [(1, 2)]
+
+
 def test_titles_meet_as_often_at_any_size():
     s = matching.Settings()
     meet = [1 - (1 - s.side**b) ** matching.table_count(b, s) for b in (8, 11, 15, 19)]
