@@ -104,6 +104,14 @@ def test_many_mistyped_words_are_related(spark):
     assert [(r["h"], r["r"]) for r in matching.title_pairs(df, matching.Settings(tables=60)).collect()] == [(1, 2)]
 
 
+def test_variants_are_the_same_on_both_sides():
+    whole = "mining of key sets in dense web logs | first results from shops | part two"
+    cut_off = "mining of key sets in dense web logs fi"
+    got = matching.variants(whole)
+    assert "mining of key sets in dense web logs" in got and "mining of key sets in dense web logs first results from shops" in got
+    assert " ".join(whole.replace("|", " ").split()[:9]) in got and " ".join(cut_off.split()[:6]) in matching.variants(cut_off)
+
+
 def test_titles_meet_as_often_at_any_size():
     s = matching.Settings()
     meet = [1 - (1 - s.side**b) ** matching.table_count(b, s) for b in (8, 11, 15, 19)]
