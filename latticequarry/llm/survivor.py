@@ -19,7 +19,8 @@ PLACEHOLDERS = [
     "abstract not available", "abstract not available.", "see full text", "see full text.",
 ]
 CUT = r"(\.\.\.|…|\[\.\.\.\]|\[…\]|\(\.\.\.\)|\[truncated\]|\(truncated\)|\[cut\])\s*$"
-SALT = 16
+# A cut-off title lacks LONGER letters at least, may have an edit per EDIT letters; titles of a group that meet in one task.
+LONGER, EDIT, CROWD = 4, 20, 1000
 HALF_LIFE_DAYS = 365.0
 UNTRUSTED = 1_000_000
 
@@ -39,6 +40,28 @@ def letters(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.translate(c, other, latin)), r"[^\p{L}\p{N}]+", "")
 
 
+def cut_titles(titles: DataFrame) -> DataFrame:
+    """(group_id, norm) of the titles that were cut off without a mark: the start of a clearly longer one of their group.
+
+    titles: distinct (group_id, norm). One edit per EDIT letters is allowed, so of k edits and k + 1 pieces of the longer
+    title's start one piece is whole and stands at most k letters aside: titles meet by such pieces, salted in large groups.
+    """
+    groups = titles.groupBy("group_id").agg(F.count("*").alias("d"), F.max(F.length("norm")).alias("most")).where("d > 1")
+    many = F.ceil(F.col("d") / CROWD).cast("int")
+    t = titles.join(groups, "group_id").withColumn("n", F.length("norm")).withColumn("edits", F.floor(F.col("n") / EDIT).cast("int")).withColumn("many", many)
+    # with k edits allowed, piece i starts at i * step; the few titles too short for an edit meet all of their group
+    step = "CASE WHEN k = 0 THEN 0 ELSE int(EDIT * k / (k + 1)) END".replace("EDIT", str(EDIT))
+    piece = "xxhash64(k, i, substring(norm, i * step + move + 1, step))"
+    whole = t.where(F.col("n") > LONGER).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - LONGER) / EDIT).cast("int"))))
+    whole = whole.withColumn("step", F.expr(step)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("move", F.lit(0))
+    whole = whole.select("group_id", F.expr(piece).alias("piece"), F.col("k").alias("edits"), F.pmod(F.xxhash64("norm"), F.col("many")).cast("int").alias("salt"), F.col("norm").alias("long"))
+    part = t.where(F.col("n") + LONGER <= F.col("most")).withColumn("k", F.col("edits")).withColumn("step", F.expr(step)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    part = part.withColumn("move", F.explode(F.sequence(-F.col("k"), F.col("k")))).where("i * step + move >= 0 AND i * step + move + step <= n")
+    part = part.select("group_id", F.expr(piece).alias("piece"), "edits", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("salt"), "norm", "n")
+    met = part.join(whole, ["group_id", "piece", "edits", "salt"]).where(F.col("n") + LONGER <= F.length("long"))
+    return met.where(F.expr("levenshtein(norm, left(long, n), edits)") >= 0).select("group_id", "norm").distinct()
+
+
 def usable_values(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Long rows (group_id, hit_id, field_name, value, source, retrieved_at) of usable values only."""
     entries = [F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]
@@ -49,16 +72,10 @@ def usable_values(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFram
     year = F.expr("try_cast(p AS int)")
     fine = F.when(f == "year", year.between(1980, 2030)).when(f == "abstract", whole_end & ~F.col("p").rlike(CUT)).otherwise(~F.col("p").rlike(CUT))
     long = long.where(fine).withColumn("norm", letters(F.col("p")))
-    # a title or venue that is the start of a clearly longer one of its group was cut off without a mark
-    text = long.where(f.isin("title", "venue"))
-    longest = text.groupBy("group_id", "field_name").agg(F.max(F.struct(F.length("norm"), "norm")).alias("m")).select("group_id", "field_name", F.col("m.norm").alias("longest"))
-    longest = longest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    text = text.withColumn("salt", F.pmod(F.xxhash64("hit_id"), F.lit(SALT)).cast("int")).join(longest, ["group_id", "field_name", "salt"])
-    n = F.length("norm")
-    start = F.expr("levenshtein(norm, left(longest, length(norm)))") <= F.floor(n / 20)
-    text = text.where(~((n <= F.length("longest") - 4) & start & (f == "title")))
+    short = cut_titles(long.where(f == "title").select("group_id", "norm").distinct()).withColumn("field_name", F.lit("title"))
+    long = long.join(short, ["group_id", "field_name", "norm"], "left_anti")
     cols = ["group_id", "hit_id", "field_name", "value", "norm", "source", "retrieved_at"]
-    return text.select(*cols).unionAll(long.where(~f.isin("title", "venue")).select(*cols))
+    return long.select(*cols)
 
 
 def winners(rows: DataFrame, trust: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:

@@ -71,6 +71,31 @@ def test_survivors(spark):
     assert survivor.winners(df.limit(0), trust).collect() == []
 
 
+def test_cut_titles_by_brute_force(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rnd = random.Random(4)
+    base = ["miningfreesetsfrommultirelationaldatawithboundedmemoryandtime", "memoryboundedclosedpatternsfordatastreams", "keys"]
+    rows = {(1, "miningfreesetsfrommulttirelationaldatawithboundedmemoryandtimes"), (1, "miningfreesetsfrommultirela"), (1, base[0]), (2, "")}
+    for g in (1, 2, 3):
+        for _ in range(60):
+            w = list(rnd.choice(base))[: rnd.randrange(2, 70)]
+            for _ in range(rnd.randrange(4)):
+                w.insert(rnd.randrange(len(w) + 1), rnd.choice("abc"))
+                if rnd.random() < 0.5:
+                    del w[rnd.randrange(len(w))]
+            rows.add((g, "".join(w)))
+    want = {(g, a) for g, a in rows for h, b in rows if g == h and len(b) >= len(a) + 4 and edits(a, b[: len(a)]) <= len(a) // 20}
+    assert (1, "miningfreesetsfrommultirela") in want
+    assert {tuple(r) for r in survivor.cut_titles(spark.createDataFrame(sorted(rows), "group_id long, norm string")).collect()} == want
+
+
 @pytest.mark.parametrize("a,b,kind", [
     ("free sets | anytime ranking over logs", "fre sets anytime rankingover logs", "equal"),
     ("mining of key sets in web logs | first results", "mining of key sets in web logs", "short"),
