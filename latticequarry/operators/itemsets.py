@@ -10,6 +10,7 @@ joined with transactions. Only generators are extended where the family allows i
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,8 +64,8 @@ def _check(level: DataFrame, before: DataFrame, k: int, strict: bool) -> DataFra
     return (out.where("sup < below") if strict else out).drop("n")
 
 
-def mine(db: DataFrame, sigma: float | str | None = None, side: str = "ceil", absolute: int | None = None, max_size: int = 3, generators: bool = True, groups: DataFrame | None = None) -> Mined:
-    """Run the levels up to max_size. Threshold: sigma with its side, or an absolute count (the same for every group).
+def mine(db: DataFrame, sigma: float | str | None = None, side: str = "ceil", absolute: int | None = None, max_size: int | None = 3, generators: bool = True, groups: DataFrame | None = None) -> Mined:
+    """Run the levels up to max_size, without one until a level is empty. Threshold: sigma with its side, or an absolute count (the same for every group).
 
     counted[k] holds every counted candidate of size k + 1 whose prefix was kept, kept[k] what remains.
     """
@@ -86,7 +87,7 @@ def mine(db: DataFrame, sigma: float | str | None = None, side: str = "ceil", ab
     out.counted.append(first.select("g", "key", "sup"))
     part = out.baskets.select("g", "w", F.posexplode("items").alias("p", "r"), "items").select("g", F.array("r").alias("key"), F.expr("slice(items, p + 2, size(items))").alias("rest"), "w")
     part = part.join(kept.select("g", "key"), ["g", "key"], "left_semi")
-    for k in range(2, max_size + 1):
+    for k in count(2) if max_size is None else range(2, max_size + 1):
         part = part.where(F.size("rest") > 0).groupBy("g", "key", "rest").agg(F.sum("w").alias("w"))
         part = cut(part)
         counts = part.select("g", "key", "w", F.explode("rest").alias("x")).groupBy("g", "key", "x").agg(F.sum("w").alias("sup"))

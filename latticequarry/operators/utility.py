@@ -21,7 +21,7 @@ def transaction_weighted_utility(util: DataFrame) -> DataFrame:
     return util.join(total, "tid").groupBy("item").agg(F.sum("tu").alias("twu"))
 
 
-def mine_utilities(util: DataFrame, theta: int, max_size: int = 3, prune: bool = True) -> Mined:
+def mine_utilities(util: DataFrame, theta: int, max_size: int | None = 3, prune: bool = True) -> Mined:
     """Generators of support >= 1 over the items that can reach theta at all.
 
     Transactions keep their number, so supports and the empty set stay those of the whole database.

@@ -15,7 +15,7 @@ def day_windows(tx: DataFrame, order: str, size: int, slide: int) -> DataFrame:
     return tx.where(F.col(order).isNotNull()).withColumn("window_id", F.explode(F.sequence(first, last, F.lit(slide).cast("long"))))
 
 
-def windowed_generators(tx: DataFrame, order: str, size: int, slide: int, absolute: int, max_size: int = 3) -> DataFrame:
+def windowed_generators(tx: DataFrame, order: str, size: int, slide: int, absolute: int, max_size: int | None = 3) -> DataFrame:
     """(window_id, items, size, support): minimal generators of each window, without the empty set.
 
     The window is a key of every step, so all windows are mined in the same few jobs.

@@ -274,6 +274,27 @@ S["windowed_generators_tumbling"] = _window_sql(7, 7, 5)
 Q["windowed_generators_sliding"] = lambda spark, d: windows.windowed_generators(fx.user_days(spark, d), "day", 6, 2, 8)
 S["windowed_generators_sliding"] = _window_sql(6, 2, 8)
 
+# ------------------------------------------------------------------ all sizes
+
+# the SQL above stops at two or three items, and so do the queries that it checks; these mine until a level is empty
+
+
+def _whole_utility(spark, d):
+    u = cut(utility.utility_database(fx.order_utilities(spark, d, "p_brand")))
+    return utility.high_utility_generators(utility.mine_utilities(u, 0, max_size=None), u, 0)
+
+
+def _whole_rare(spark, d, side):
+    return _drop(itemsets.minimal_rare(_mine1(spark, d, side, "0.0053", max_size=None))).withColumn("side", F.lit(side))
+
+
+Q["minimal_rare_whole"] = lambda spark, d: _drop(itemsets.minimal_rare(itemsets.mine(itemsets.as_database(fx.order_brands(spark, d)), "0.02", max_size=None)))
+Q["minimal_rare_both_sides_whole"] = lambda spark, d: _whole_rare(spark, d, "floor").unionAll(_whole_rare(spark, d, "ceil"))
+Q["itemset_utility_whole"] = _whole_utility
+Q["minimal_generators_words_whole"] = lambda spark, d: _drop(itemsets.minimal_generators(itemsets.mine(itemsets.as_database(fx.document_words(spark, d)), "0.3", max_size=None), "no_full_support_item"))
+Q["windowed_generators_tumbling_whole"] = lambda spark, d: windows.windowed_generators(fx.user_days(spark, d), "day", 7, 7, 5, max_size=None)
+Q["windowed_generators_sliding_whole"] = lambda spark, d: windows.windowed_generators(fx.user_days(spark, d), "day", 6, 2, 8, max_size=None)
+
 # ------------------------------------------------------------------ audit
 
 

@@ -108,3 +108,20 @@ def test_audit_and_difference(spark):
     assert found == {("b", "bad_support"), ("a|b", "not_minimal"), ("a|b", "extra"), ("c", "missing"), ("a|c", "missing"), ("b|c", "missing")}
     diff = {(r["items"], r["side"]) for r in audit.pattern_set_difference(given, truth).collect()}
     assert ("b", "support") in diff and ("a|b", "only_left") in diff and ("c", "only_right") in diff
+
+
+def test_all_sizes_by_brute_force(spark):
+    baskets = ["abcde", "abcd", "abce", "abde", "acde", "bcde", "abcdf", "f"]
+    sup = {c: sum(set(c) <= set(b) for b in baskets) for k in range(1, 7) for c in combinations("abcdef", k)}
+    low = {c: [sup[c[:i] + c[i + 1 :]] if len(c) > 1 else len(baskets) for i in range(len(c))] for c in sup}
+    gens = {()}
+    for c in sorted(sup, key=len):
+        if sup[c] >= 1 and all(sup[c] < x for x in low[c]) and all(c[:i] + c[i + 1 :] in gens for i in range(len(c))):
+            gens.add(c)
+    run = itemsets.mine(db(spark, baskets), absolute=1, max_size=None)
+    assert max(map(len, gens)) > 3
+    assert as_dict(itemsets.minimal_generators(run, "never")) == {"|".join(c): sup[c] for c in gens if c}
+    rare = {c: s for c, s in sup.items() if s < 2 and all(x >= 2 for x in low[c])}
+    rare = {c: s for c, s in rare.items() if all(c[:i] + c[i + 1 :] in gens for i in range(len(c)))}
+    assert as_dict(itemsets.minimal_rare(itemsets.mine(db(spark, baskets), absolute=2, max_size=None))) == {"|".join(c): s for c, s in rare.items()}
+    assert max(map(len, rare)) > 3
