@@ -28,6 +28,15 @@ def audit_generators(db: DataFrame, given: DataFrame, truth: DataFrame) -> DataF
     return wrong.unionAll(dull).unionAll(lacking).unionAll(beyond)
 
 
+def audit_closures(m: itemsets.Mined, given: DataFrame) -> DataFrame:
+    """(generator, closure, finding): bad_closure where a given pair (generator, closure) has another closure in the database,
+    not_generator where the first is none, and missing pairs. m: a run with closures of the same database and threshold."""
+    true = itemsets.generator_closures(m).select("generator", F.col("closure").alias("true_closure"))
+    j = given.select("generator", "closure").distinct().join(true, "generator", "full_outer")
+    finding = F.when(F.col("closure").isNull(), "missing").when(F.col("true_closure").isNull(), "not_generator").when(F.col("closure") != F.col("true_closure"), "bad_closure")
+    return j.withColumn("finding", finding).where("finding IS NOT NULL").select("generator", F.coalesce("closure", "true_closure").alias("closure"), "finding")
+
+
 def pattern_set_difference(a: DataFrame, b: DataFrame, left: str = "only_left", right: str = "only_right") -> DataFrame:
     """(items, side, left_support, right_support): patterns of one set only, and those of different supports."""
     j = a.select("items", F.col("support").alias("left_support")).join(b.select("items", F.col("support").alias("right_support")), "items", "full_outer")

@@ -21,7 +21,8 @@ from ..session import cut
 
 #: Candidates of one level beyond which mining stops with an error instead of filling the disks.
 MAX_CANDIDATES = 200_000_000
-SALT = 16
+#: Patterns with one shared beginning that meet in one task.
+CROWD = 1000
 
 
 def as_database(tx: DataFrame, group: str | None = None) -> DataFrame:
@@ -45,6 +46,7 @@ class Mined:
     singles: DataFrame
     kept: list[DataFrame] = field(default_factory=list)
     counted: list[DataFrame] = field(default_factory=list)
+    closed: list[DataFrame] = field(default_factory=list)
 
 
 def subsets_of(key: Column) -> Column:
@@ -57,54 +59,110 @@ def _check(level: DataFrame, before: DataFrame, k: int, strict: bool) -> DataFra
 
     Only candidates whose immediate subsets are all in `before` remain; strict also asks for a smaller support than each.
     """
-    each = level.select("g", "key", "sup", F.posexplode(subsets_of(F.col("key"))).alias("at", "sub"))
+    each = level.select(*level.columns, F.posexplode(subsets_of(F.col("key"))).alias("at", "sub"))
     low = before.select("g", F.col("key").alias("sub"), F.col("sup").alias("low"))
-    met = each.join(low, ["g", "sub"]).groupBy("g", "key", "sup").agg(F.count("*").alias("n"), F.min("low").alias("below"), F.min(F.when(F.col("low") == F.col("sup"), F.element_at("key", F.col("at") + 1))).alias("lost"))
+    met = each.join(low, ["g", "sub"]).groupBy("g", "key", "sup").agg(F.count("*").alias("n"), F.min("low").alias("below"), *([F.max("u").alias("u")] if "u" in level.columns else []), F.min(F.when(F.col("low") == F.col("sup"), F.element_at("key", F.col("at") + 1))).alias("lost"))
     out = met.where(F.col("n") == k)
     return (out.where("sup < below") if strict else out).drop("n")
 
 
-def mine(db: DataFrame, sigma: float | str | None = None, side: str = "ceil", absolute: int | None = None, max_size: int | None = 3, generators: bool = True, groups: DataFrame | None = None) -> Mined:
-    """Run the levels up to max_size, without one until a level is empty. Threshold: sigma with its side, or an absolute count (the same for every group).
-
-    counted[k] holds every counted candidate of size k + 1 whose prefix was kept, kept[k] what remains.
+def mine(
+    db: DataFrame,
+    sigma: float | str | None = None,
+    side: str = "ceil",
+    absolute: int | None = None,
+    max_size: int | None = None,
+    generators: bool = True,
+    groups: DataFrame | None = None,
+    closures: bool = False,
+    theta: int = 0,
+) -> Mined:
+    """Run the levels until one is empty, or up to the caller's max_size. Threshold: sigma with its side, or an absolute count (the same for every group).
+
+    counted[k] holds every counted candidate of size k + 1 whose prefix was kept, kept[k] what remains. With closures,
+    the items before a pattern's last one travel along and closed[k] holds the closure of each kept pattern: counting
+    one item more tells which items all its transactions hold. If db has a column util, patterns carry their summed
+    utility u and closures uc, and patterns whose transaction-weighted utility is below theta aren't kept.
     """
+    value = "util" in db.columns
     if groups is None:
         m = F.lit(max(1, absolute)).cast("long") if absolute is not None else threshold_column(sigma, F.col("n"), side)
         groups = sizes(db).withColumn("m", m)
     groups = cut(groups)
-    singles = db.groupBy("g", "item").agg(F.count("*").alias("sup")).join(groups, "g")
-    frequent = singles.where("sup >= m")
-    # frequent items only; their number is bounded by total items / threshold
-    ranks = cut(frequent.groupBy("item").agg(F.sum("sup").alias("s")).select("item", F.row_number().over(Window.orderBy(F.desc("s"), "item")).alias("rank")))
+    if value:
+        db = db.join(db.groupBy("g", "tid").agg(F.sum("util").alias("tu")), ["g", "tid"])
+    sums = [F.sum("util").alias("u"), F.sum("tu").alias("twu")] if value else []
+    money = ["u"] if value else []
+    singles = db.groupBy("g", "item").agg(F.count("*").alias("sup"), *sums).join(groups, "g")
+    enough = F.col("twu") >= theta if value else F.lit(True)
+    # frequent items only; their number is bounded by total items / threshold. A rank need not be dense, only in order
+    frequent = singles.where(F.col("sup") >= F.col("m")).where(enough)
+    order = frequent.groupBy("item").agg(F.sum("sup").alias("s")).orderBy(F.desc("s"), "item")
+    ranks = cut(order.select("item", F.monotonically_increasing_id().alias("rank")))
     singles = cut(singles.join(ranks, "item", "left"))
-    first = singles.where("sup >= m").select("g", F.array("rank").alias("key"), "sup", "n", "m")
-    usable = singles.where("sup >= m").select("g", "item", "rank")
-    baskets = db.join(usable, ["g", "item"]).groupBy("g", "tid").agg(F.array_sort(F.collect_set("rank")).alias("items")).groupBy("g", "items").agg(F.count("*").alias("w"))
-    out = Mined(ranks, groups, cut(baskets), singles)
+    usable = singles.where("sup >= m").where(enough)
+    first = usable.select("g", F.array("rank").alias("key"), "sup", *money, "n", "m")
+    out = Mined(ranks, groups, _baskets(db, usable.select("g", "item", "rank"), value), singles)
     kept = cut(first.where("sup < n") if generators else first)
-    out.kept.append(kept.select("g", "key", "sup"))
+    out.kept.append(kept.select("g", "key", "sup", *money))
     out.counted.append(first.select("g", "key", "sup"))
-    part = out.baskets.select("g", "w", F.posexplode("items").alias("p", "r"), "items").select("g", F.array("r").alias("key"), F.expr("slice(items, p + 2, size(items))").alias("rest"), "w")
+    part = out.baskets.select("g", "w", *(["tu"] if value else []), F.posexplode("items").alias("p", "e"), "items")
+    part = part.select("g", F.array(_x("e", value)).alias("key"), *([F.col("e.v").alias("u"), "tu"] if value else []), F.expr("slice(items, p + 2, size(items))").alias("rest"), *([F.expr("slice(items, 1, p)").alias("skip")] if closures else []), "w")
     part = part.join(kept.select("g", "key"), ["g", "key"], "left_semi")
-    for k in count(2) if max_size is None else range(2, max_size + 1):
-        part = part.where(F.size("rest") > 0).groupBy("g", "key", "rest").agg(F.sum("w").alias("w"))
+    for k in count(2):
+        if max_size is not None and k > max_size + closures:
+            break
+        # equal remainders of a pattern are merged; with utilities they are left apart, as their arrays would have to be added
+        if not value:
+            part = part.groupBy(*[c for c in part.columns if c != "w"]).agg(F.sum("w").alias("w"))
         part = cut(part)
-        counts = part.select("g", "key", "w", F.explode("rest").alias("x")).groupBy("g", "key", "x").agg(F.sum("w").alias("sup"))
-        counts = cut(counts.select("g", F.concat("key", F.array("x")).alias("key"), "sup"))
-        if counts.count() > MAX_CANDIDATES:
+        tag = lambda c, ahead: F.transform(c, lambda e: F.struct(e.alias("e"), F.lit(ahead).alias("ahead")))
+        both = F.concat(tag("rest", True), tag("skip", False)) if closures else tag("rest", True)
+        seen = part.select("g", "key", "w", *(["u", "tu"] if value else []), F.explode(both).alias("t")).select("*", F.col("t.ahead").alias("ahead"), F.col("t.e.x" if value else "t.e").alias("x"))
+        sums = [F.sum(F.col("u") + F.col("t.e.v")).alias("u"), F.sum("t.e.v").alias("xv"), F.sum("tu").alias("twu")] if value else []
+        met = seen.groupBy("g", "key", "x", "ahead").agg(F.sum("w").alias("sup"), *sums)
+        met = cut(met)
+        if met.count() > MAX_CANDIDATES:
             raise RuntimeError(f"more than {MAX_CANDIDATES} candidates of size {k}; raise the threshold or lower max_size")
-        out.counted.append(counts)
-        level = counts.join(groups, "g").where("sup >= m").select("g", "key", "sup")
-        kept = cut(_check(level, out.kept[-1], k, True).select("g", "key", "sup")) if generators else cut(level)
+        if closures:
+            own = out.kept[-1]
+            all_ = met.select("g", "key", "x", F.col("sup").alias("c"), *(["xv"] if value else [])).join(own.select("g", "key", "sup"), ["g", "key"]).where("c = sup")
+            more = all_.groupBy("g", "key").agg(F.collect_list("x").alias("more"), *([F.sum("xv").alias("mu")] if value else []))
+            uc = [F.col("u"), (F.col("u") + F.coalesce("mu", F.lit(0))).alias("uc")] if value else []
+            whole = F.array_sort(F.concat("key", F.coalesce("more", F.array().cast("array<bigint>")))).alias("closure")
+            out.closed.append(cut(own.join(more, ["g", "key"], "left").select("g", "key", "sup", whole, *uc)))
+            if max_size is not None and k > max_size:
+                break
+        counts = met.where("ahead").select("g", F.concat("key", F.array("x")).alias("key"), "sup", *(["u", "twu"] if value else []))
+        out.counted.append(counts.select("g", "key", "sup"))
+        level = counts.join(groups, "g").where("sup >= m").where(enough).select("g", "key", "sup", *money)
+        kept = cut(_check(level, out.kept[-1], k, True).select("g", "key", "sup", *money)) if generators else cut(level)
         out.kept.append(kept)
-        if k == max_size or kept.isEmpty():
+        if kept.isEmpty():
             break
-        ext = part.select("g", "key", "w", "rest", F.posexplode("rest").alias("p", "x")).select("g", F.concat("key", F.array("x")).alias("key"), F.expr("slice(rest, p + 2, size(rest))").alias("rest"), "w")
-        part = ext.where(F.size("rest") > 0).join(kept.select("g", "key"), ["g", "key"], "left_semi")
+        ext = part.select("*", F.posexplode("rest").alias("p", "e"))
+        key = F.concat("key", F.array(_x("e", value))).alias("key")
+        part = ext.select("g", key, *([(F.col("u") + F.col("e.v")).alias("u"), "tu"] if value else []), F.expr("slice(rest, p + 2, size(rest))").alias("rest"), *([F.expr("concat(skip, slice(rest, 1, p))").alias("skip")] if closures else []), "w")
+        # a pattern without remaining items is at its end, but its closure still has to be counted
+        part = (part if closures else part.where(F.size("rest") > 0)).join(kept.select("g", "key"), ["g", "key"], "left_semi")
     return out
 
 
+def _x(e: str, value: bool) -> Column:
+    return F.col(e + ".x") if value else F.col(e)
+
+
+def _baskets(db: DataFrame, usable: DataFrame, value: bool) -> DataFrame:
+    """(g, items, w) of merged baskets; with utilities items are (x, v) and tu is the summed utility of the merged transactions."""
+    rows = db.join(usable, ["g", "item"])
+    if not value:
+        return cut(rows.groupBy("g", "tid").agg(F.array_sort(F.collect_set("rank")).alias("items")).groupBy("g", "items").agg(F.count("*").alias("w")))
+    one = rows.groupBy("g", "tid").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("x"), F.col("util").alias("v")))).alias("s"), F.max("tu").alias("tu"))
+    one = one.withColumn("names", F.col("s.x"))
+    long = one.select("g", "names", "tu", F.explode("s").alias("e")).groupBy("g", "names", F.col("e.x").alias("x")).agg(F.sum("e.v").alias("v"), F.count("*").alias("w"), F.sum("tu").alias("tu"))
+    return cut(long.groupBy("g", "names").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("items"), F.max("w").alias("w"), F.max("tu").alias("tu")).drop("names"))
+
+
 def named(rows: DataFrame, ranks: DataFrame, key: str = "key", to: str = "items") -> DataFrame:
     """Rank arrays as sorted `|`-joined item names; patterns are short, so they are exploded and joined with the names."""
     other = [c for c in rows.columns if c != key]
@@ -112,16 +170,23 @@ def named(rows: DataFrame, ranks: DataFrame, key: str = "key", to: str = "items"
     return long.groupBy(*other, "_k").agg(F.concat_ws("|", F.array_sort(F.collect_list("item"))).alias(to)).drop("_k")
 
 
-def _all(levels: list[DataFrame]) -> DataFrame:
+def _stack(levels: list[DataFrame]) -> DataFrame:
     out = levels[0]
     for x in levels[1:]:
         out = out.unionAll(x)
     return out
 
 
+def _all(levels: list[DataFrame]) -> DataFrame:
+    out = levels[0].select("g", "key", "sup")
+    for x in levels[1:]:
+        out = out.unionAll(x.select("g", "key", "sup"))
+    return out
+
+
 def empty_set(m: Mined) -> DataFrame:
     """The empty pattern of each group, with support |D|."""
-    return m.groups.select("g", F.array().cast("array<int>").alias("key"), F.col("n").alias("sup"))
+    return m.groups.select("g", F.array().cast("array<bigint>").alias("key"), F.col("n").alias("sup"))
 
 
 def _finish(rows: DataFrame, ranks: DataFrame, *extra: str) -> DataFrame:
@@ -160,30 +225,27 @@ def minimal_generators(m: Mined, empty: str = "always") -> DataFrame:
     return _finish(with_empty(m, empty), m.ranks)
 
 
-def closures(m: Mined, patterns: DataFrame) -> DataFrame:
-    """(g, key, sup, closure): all items of every transaction that holds the pattern.
-
-    A pattern meets baskets by its rarest item, then is tested in the row; closure items are counted with partial aggregation.
-    """
-    some = patterns.where(F.size("key") > 0).withColumn("r", F.try_element_at("key", F.lit(-1)))
-    rows = m.baskets.select("g", "items", "w", F.explode("items").alias("r")).join(some, ["g", "r"]).where(F.size(F.array_except("key", "items")) == 0)
-    cover = rows.select("g", "key", "sup", "w", F.explode("items").alias("x"))
-    empty = patterns.where(F.size("key") == 0)
-    none = m.baskets.select("g", "items", "w").join(empty, "g").select("g", "key", "sup", "w", F.explode("items").alias("x"))
-    got = cover.unionAll(none).groupBy("g", "key", "sup", "x").agg(F.sum("w").alias("c")).where("c = sup")
-    got = got.groupBy("g", "key", "sup").agg(F.array_sort(F.collect_list("x")).alias("closure"))
-    return patterns.join(got, ["g", "key", "sup"], "left").select("g", "key", "sup", F.coalesce("closure", F.array().cast("array<int>")).alias("closure"))
+def closures(m: Mined, empty: str = "never") -> DataFrame:
+    """(g, key, sup, closure) of the kept patterns of a run with closures: all items of every transaction that holds the pattern."""
+    if not m.closed:
+        raise ValueError("closures need a run with closures=True")
+    rows = _stack([c.select("g", "key", "sup", "closure") for c in m.closed])
+    if empty == "never":
+        return rows
+    full = m.singles.where("sup = n AND sup >= m").groupBy("g").agg(F.array_sort(F.collect_list("rank")).alias("closure"))
+    none = with_empty(m, empty).where(F.size("key") == 0)
+    return rows.unionAll(none.join(full, "g", "left").select("g", "key", "sup", F.coalesce("closure", F.array().cast("array<bigint>")).alias("closure")))
 
 
 def generator_closures(m: Mined, empty: str = "always") -> DataFrame:
     """(g, generator, closure, support) pairs."""
-    rows = closures(m, with_empty(m, empty))
+    rows = closures(m, empty)
     return named(named(rows, m.ranks, "key", "generator"), m.ranks, "closure", "closed").select("g", "generator", F.col("closed").alias("closure"), F.col("sup").alias("support"))
 
 
 def closed_itemsets(m: Mined, empty: str = "always") -> DataFrame:
     """(g, items, support): distinct closures of the generators."""
-    rows = closures(m, with_empty(m, empty)).select("g", F.col("closure").alias("key"), "sup").distinct()
+    rows = closures(m, empty).select("g", F.col("closure").alias("key"), "sup").distinct()
     return named(rows, m.ranks).select("g", "items", F.col("sup").alias("support"))
 
 
@@ -194,7 +256,7 @@ def equivalence_classes(m: Mined, empty: str = "always") -> DataFrame:
 
 def exact_rules(m: Mined) -> DataFrame:
     """(g, antecedent, consequent, support): generator => closure without it, confidence 1; empty consequents dropped."""
-    rows = closures(m, with_empty(m, "always")).select("g", "key", "sup", F.array_except("closure", "key").alias("rest")).where(F.size("rest") > 0)
+    rows = closures(m, "always").select("g", "key", "sup", F.array_except("closure", "key").alias("rest")).where(F.size("rest") > 0)
     return named(named(rows, m.ranks, "key", "antecedent"), m.ranks, "rest", "consequent").select("g", "antecedent", "consequent", F.col("sup").alias("support"))
 
 
@@ -225,16 +287,23 @@ def k_free(m: Mined, k: int) -> DataFrame:
     return _finish(_all(out), m.ranks)
 
 
+def _positive(m: Mined) -> tuple[DataFrame, list[DataFrame]]:
+    """Full-support items (g, key, sup), and by size the border sets (g, key, sup, red); red: the redundant item of the smallest rank."""
+    single = m.singles.where("sup = n AND sup >= m").select("g", F.array("rank").alias("key"), "sup")
+    more = []
+    for k in range(2, len(m.counted) + 1):
+        level = m.counted[k - 1].join(m.groups, "g").where("sup >= m").select("g", "key", "sup")
+        more.append(_check(level, m.kept[k - 2], k, False).where("sup = below").select("g", "key", "sup", F.col("lost").alias("red")))
+    return single, more
+
+
 def positive_border(m: Mined) -> DataFrame:
     """(g, items, size, support, redundant_item): frequent sets that aren't generators though all immediate subsets are.
 
     Items of full support belong to it. Of several redundant items the first in name order is given.
     """
-    rows = [m.singles.where("sup = n AND sup >= m").select("g", F.array("rank").alias("key"), "sup")]
-    for k in range(2, len(m.counted) + 1):
-        level = m.counted[k - 1].join(m.groups, "g").where("sup >= m").select("g", "key", "sup")
-        rows.append(_check(level, m.kept[k - 2], k, False).where("sup = below").select("g", "key", "sup"))
-    border = _all(rows)
+    single, more = _positive(m)
+    border = _all([single, *more])
     low = _all([empty_set(m), *m.kept])
     each = border.select("g", "key", "sup", F.posexplode(subsets_of(F.col("key"))).alias("at", "sub")).withColumn("rank", F.element_at("key", F.col("at") + 1))
     lost = each.join(low.select("g", F.col("key").alias("sub"), F.col("sup").alias("low")), ["g", "sub"]).where("low = sup").join(m.ranks.select("rank", "item"), "rank")
@@ -243,10 +312,11 @@ def positive_border(m: Mined) -> DataFrame:
 
 
 def _joined(level: DataFrame) -> DataFrame:
-    """Candidates (g, key) of the next size: two kept sets that share all but their last item; the shared part is salted."""
+    """Candidates (g, key) of the next size: two kept sets that share all but their last item; large shared parts are salted by their own size."""
     split = level.select("g", F.expr("slice(key, 1, size(key) - 1)").alias("pre"), F.try_element_at("key", F.lit(-1)).alias("x"))
-    a = split.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALT)).cast("int"))
-    b = split.withColumnRenamed("x", "y").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    split = split.join(split.groupBy("g", "pre").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("many")), ["g", "pre"])
+    a = split.withColumn("salt", F.pmod(F.xxhash64("x"), F.col("many")).cast("int")).drop("many")
+    b = split.withColumnRenamed("x", "y").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).drop("many")
     return a.join(b, ["g", "pre", "salt"]).where("x < y").select("g", F.concat("pre", F.array("x", "y")).alias("key"))
 
 
@@ -281,29 +351,97 @@ def recover_frequent(m: Mined) -> DataFrame:
     """(g, items, size, support) of all frequent sets, rebuilt from generators, negative border and cover items only.
 
     A set is frequent if its immediate subsets are and it is no border set; its support is the smallest of theirs
-    and of its own, if it is a generator.
+    and of its own, if it is a generator. Goes on until a level is empty, beyond the longest generator.
     """
     border = border_ranks(m)
     full = m.singles.where("sup = n AND sup >= m").select("g", F.array("rank").alias("key"), "sup")
-    levels = [cut(m.kept[0].unionAll(full))]
-    for k in range(2, len(m.kept) + 1):
+    levels = [cut(m.kept[0].select("g", "key", "sup").unionAll(full))]
+    for k in count(2):
         cand = _joined(levels[-1])
         if k - 2 < len(border):
             cand = cand.join(border[k - 2].select("g", "key"), ["g", "key"], "left_anti")
         sub = cand.select("g", "key", F.explode(subsets_of(F.col("key"))).alias("sub")).join(levels[-1].select("g", F.col("key").alias("sub"), "sup"), ["g", "sub"])
         all_ = sub.groupBy("g", "key").agg(F.count("*").alias("c"), F.min("sup").alias("low")).where(F.col("c") == k)
-        own = all_.join(m.kept[k - 1].withColumnRenamed("sup", "own"), ["g", "key"], "left")
-        levels.append(cut(own.select("g", "key", F.least("low", "own").alias("sup"))))
+        if k <= len(m.kept):
+            all_ = all_.join(m.kept[k - 1].select("g", "key", F.col("sup").alias("own")), ["g", "key"], "left").withColumn("low", F.least("low", "own"))
+        levels.append(cut(all_.select("g", "key", F.col("low").alias("sup"))))
         if levels[-1].isEmpty():
-            break
-    return _finish(_all(levels), m.ranks)
+            return _finish(_all(levels), m.ranks)
+
+
+def recover_frequent_positive(m: Mined) -> DataFrame:
+    """(g, items, size, support) of all frequent sets, rebuilt from generators and positive border only.
+
+    Every frequent set that is no generator holds a border set, whose redundant item it can lose without a change of
+    support; a set without one that is no generator is infrequent. Goes on until a level is empty.
+    """
+    single, more = _positive(m)
+    levels = [cut(m.kept[0].select("g", "key", "sup", F.lit(None).cast("long").alias("red")).unionAll(single.select("g", "key", "sup", F.col("key")[0])))]
+    for k in count(2):
+        cand = _joined(levels[-1])
+        sub = cand.select("g", "key", F.posexplode(subsets_of(F.col("key"))).alias("at", "sub")).join(levels[-1].withColumnRenamed("key", "sub"), ["g", "sub"])
+        lost = F.element_at("key", F.col("at") + 1)
+        all_ = sub.groupBy("g", "key").agg(F.count("*").alias("c"), F.min("red").alias("below"), F.map_from_entries(F.collect_list(F.struct(lost.alias("k"), F.col("sup").alias("v")))).alias("sups")).where(F.col("c") == k)
+        if k <= len(m.kept):
+            all_ = all_.join(m.kept[k - 1].select("g", "key", F.col("sup").alias("own")), ["g", "key"], "left")
+            all_ = all_.join(more[k - 2].select("g", "key", F.col("red").alias("at_border")), ["g", "key"], "left")
+        else:
+            all_ = all_.withColumns({"own": F.lit(None).cast("long"), "at_border": F.lit(None).cast("long")})
+        red = F.when(F.col("own").isNull(), F.coalesce("at_border", "below"))
+        rows = all_.withColumn("red", red).withColumn("sup", F.coalesce("own", F.try_element_at("sups", "red"))).where("sup IS NOT NULL")
+        levels.append(cut(rows.select("g", "key", "sup", "red")))
+        if levels[-1].isEmpty():
+            return _finish(_all(levels), m.ranks)
+
+
+def contained(rows: DataFrame, keys: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of rows but `items`, with each key (a sorted array that isn't empty) all of whose elements `items` holds.
+
+    Rows step down the prefix tree of the keys, one join a level, so a row meets only keys whose beginning it holds.
+    """
+    longest = keys.agg(F.max(F.size("key"))).first()[0] or 0
+    keep = [c for c in rows.columns if c != "items"]
+    kind = keys.schema["key"].dataType
+    part = rows.select(*keep, F.array().cast(kind).alias("key"), F.col("items").alias("rest"))
+    out = []
+    for k in range(1, longest + 1):
+        nodes = keys.where(F.size("key") >= k).groupBy(*on, F.expr(f"slice(key, 1, {k})").alias("key")).agg(F.max(F.size("key") == k).alias("whole"))
+        step = part.select(*keep, "key", "rest", F.posexplode("rest").alias("p", "x")).select(*keep, F.concat("key", F.array("x")).alias("key"), F.expr("slice(rest, p + 2, size(rest))").alias("rest"))
+        part = cut(step.join(nodes, [*on, "key"]))
+        out.append(part.where("whole").select(*keep, "key"))
+        part = part.drop("whole")
+    return _stack(out) if out else part.select(*keep, "key").limit(0)
+
+
+def _split(c: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.split(c, r"\|"), lambda x: x != "")))
 
 
 def itemset_support(db: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(items, support) of given patterns (column items, `|`-joined), 0 for those no transaction holds; {} holds everywhere."""
-    p = patterns.select("items").distinct().withColumn("k", F.filter(F.split("items", r"\|"), lambda x: x != ""))
-    size = p.withColumn("size", F.size(F.array_distinct("k")))
-    long = size.select("items", "size", F.explode(F.array_distinct("k")).alias("item"))
-    hit = db.join(long, "item").groupBy("g", "tid", "items", "size").agg(F.count("*").alias("c")).where("c = size").groupBy("items").agg(F.count("*").alias("support"))
+    """(items, support) of given patterns (column items, `|`-joined), 0 for those no transaction holds; {} holds everywhere.
+
+    Equal baskets are merged, then step down the prefix tree of the patterns; only (basket, prefix it holds) rows arise.
+    """
+    p = patterns.select("items").distinct().withColumn("key", _split(F.col("items")))
+    named_ = p.select(F.explode("key").alias("item")).distinct()
+    baskets = db.join(named_, "item").groupBy("g", "tid").agg(F.array_sort(F.collect_set("item")).alias("items")).groupBy("items").agg(F.count("*").alias("w"))
+    hit = contained(baskets, p.where(F.size("key") > 0).select("key").distinct()).groupBy("key").agg(F.sum("w").alias("support"))
     n = sizes(db).agg(F.sum("n").alias("n"))
-    return size.join(hit, "items", "left").crossJoin(F.broadcast(n)).select("items", F.when(F.col("size") == 0, F.col("n")).otherwise(F.coalesce("support", F.lit(0))).alias("support"))
+    return p.join(hit, "key", "left").crossJoin(F.broadcast(n)).select("items", F.when(F.size("key") == 0, F.col("n")).otherwise(F.coalesce("support", F.lit(0))).alias("support"))
+
+
+def lookup_support(m: Mined, patterns: DataFrame) -> DataFrame:
+    """(g, items, support) of given patterns (g, items) from generators and negative border alone; null where the pattern is infrequent.
+
+    The support is the smallest of the generators a pattern holds ({} among them), unless it holds a border set.
+    """
+    border = named(_all([*border_ranks(m), m.singles.where("sup < m AND rank IS NOT NULL").select("g", F.array("rank").alias("key"), "sup")]), m.ranks).select("g", F.lit(-1).cast("long").alias("sup"), "items")
+    border = border.unionAll(m.singles.where("sup < m").select("g", F.lit(-1).cast("long"), F.col("item")))
+    known = named(_all(m.kept), m.ranks).select("g", "sup", "items").unionAll(border).select("g", _split(F.col("items")).alias("key"), "sup").distinct()
+    p = patterns.select("g", F.col("items").alias("name")).distinct()
+    rows = p.withColumn("items", _split(F.col("name")))
+    low = contained(rows, known.select("g", "key"), ("g",)).join(known, ["g", "key"]).groupBy("g", "name").agg(F.min("sup").alias("low"))
+    # an item of no transaction makes a pattern infrequent too
+    odd = rows.select("g", "name", F.explode("items").alias("item")).join(m.singles.select("g", "item"), ["g", "item"], "left_anti").select("g", "name", F.lit(True).alias("odd")).distinct()
+    out = p.join(low, ["g", "name"], "left").join(odd, ["g", "name"], "left").join(m.groups.select("g", "n"), "g")
+    return out.select("g", F.col("name").alias("items"), F.when(F.col("odd") | (F.col("low") < 0), None).otherwise(F.coalesce("low", "n")).alias("support"))

@@ -40,20 +40,22 @@ def sequence_support(data: DataFrame, patterns: DataFrame) -> DataFrame:
     return p.join(hit, "pattern", "left").crossJoin(F.broadcast(n)).select("pattern", F.when(F.size("p") == 0, F.col("n")).otherwise(F.coalesce("support", F.lit(0))).alias("support"))
 
 
-def sequential_patterns(data: DataFrame, minimum: int, max_length: int = 3) -> DataFrame:
-    """(sequence, pattern, length, support) of all frequent sequences up to max_length items.
+def sequential_patterns(data: DataFrame, minimum: int, max_length: int | None = None) -> DataFrame:
+    """(sequence, pattern, length, support) of all frequent sequences, of any length unless the caller sets one.
 
-    All of them are needed: sequence generators are not closed under subsequences.
+    All of them are needed: sequence generators are not closed under subsequences. No pattern is longer than the
+    longest sequence, which bounds the projection.
     """
     rows = data.where(F.size("sequence") > 0).select("sequence")
-    n = rows.count()
+    n, longest = rows.agg(F.count("*"), F.max(F.size(F.flatten("sequence")))).first()
+    max_length = max_length or longest
     if n == 0 or minimum > n:
         return data.select("sequence").limit(0).select("sequence", F.expr(TEXT).alias("pattern"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("support"))
     found = PrefixSpan(minSupport=max(0.0, (minimum - 0.5) / n), maxPatternLength=max_length, sequenceCol="sequence").findFrequentSequentialPatterns(rows)
     return found.select("sequence", F.expr(TEXT).alias("pattern"), F.size(F.flatten("sequence")).alias("length"), F.col("freq").alias("support"))
 
 
-def sequential_generators(data: DataFrame, minimum: int, max_length: int = 3, empty: bool = False) -> DataFrame:
+def sequential_generators(data: DataFrame, minimum: int, max_length: int | None = None, empty: bool = False) -> DataFrame:
     """(pattern, length, support): frequent sequences no immediate subsequence of which has equal support.
 
     {} has support n, so a single item in every sequence is none; `empty` adds {} itself.

@@ -1,13 +1,15 @@
-"""Utility families: high-utility generators, their closure variant, and utility-minimal sets."""
+"""Utility families: high-utility generators, their closure variant, and utility-minimal sets.
+
+Utilities travel along the projection of the mining run, so patterns never meet transactions again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from . import itemsets
-from .itemsets import Mined, _all, closures, named, subsets_of
+from .itemsets import Mined, _stack, named, subsets_of
 
 
 def utility_database(rows: DataFrame) -> DataFrame:
@@ -21,58 +23,38 @@ def transaction_weighted_utility(util: DataFrame) -> DataFrame:
     return util.join(total, "tid").groupBy("item").agg(F.sum("tu").alias("twu"))
 
 
-def mine_utilities(util: DataFrame, theta: int, max_size: int | None = 3, prune: bool = True) -> Mined:
-    """Generators of support >= 1 over the items that can reach theta at all.
-
-    Transactions keep their number, so supports and the empty set stay those of the whole database.
-    """
-    db = itemsets.as_database(util)
-    n = cut(itemsets.sizes(db).withColumn("m", F.lit(1).cast("long")))
-    if prune:
-        db = db.join(transaction_weighted_utility(util).where(F.col("twu") >= theta).select("item"), "item", "left_semi").select("g", "tid", "item")
-    return itemsets.mine(db, absolute=1, max_size=max_size, groups=n)
-
-
-def pattern_utilities(m: Mined, util: DataFrame, patterns: DataFrame, key: str = "key") -> DataFrame:
-    """patterns with u: the summed utility of their items over all transactions that hold them whole.
+def mine_utilities(util: DataFrame, theta: int, max_size: int | None = None, generators: bool = True, closures: bool = False) -> Mined:
+    """Generators (or all itemsets) of support >= 1 whose transaction-weighted utility reaches theta, with their utility u.
 
-    A pattern meets transactions by its rarest item; sums combine before the shuffle.
+    The bound holds for every superset and every closure, so no set with u or closure utility >= theta is lost.
+    Utilities must not be negative.
     """
-    rank = util.join(m.ranks, "item")
-    base = rank.groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct("rank", "util"))).alias("u"))
-    some = patterns.select("g", F.col(key).alias("k")).where(F.size("k") > 0).distinct().withColumn("rank", F.try_element_at("k", F.lit(-1)))
-    met = rank.select("tid", "rank").join(some, "rank").join(base, "tid").withColumn("v", F.transform("k", lambda x: F.try_element_at("u", x)))
-    whole = met.where(~F.exists("v", lambda x: x.isNull()))
-    sums = whole.groupBy("g", "k").agg(F.sum(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x)).alias("u"))
-    return patterns.join(sums.withColumnRenamed("k", key), ["g", key], "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    db = util.select(F.lit(0).cast("long").alias("g"), F.col("tid").cast("long").alias("tid"), F.col("item").cast("string").alias("item"), F.col("util").cast("long").alias("util"))
+    return itemsets.mine(db, absolute=1, max_size=max_size, generators=generators, closures=closures, theta=theta)
 
 
-def generator_utilities(m: Mined, util: DataFrame) -> DataFrame:
-    """(g, key, sup, closure, u, uc): generators with their own utility and that of their closure."""
-    gens = cut(closures(m, _all(m.kept)))
-    own = pattern_utilities(m, util, gens)
-    return pattern_utilities(m, util, own.withColumnRenamed("u", "own"), "closure").withColumnRenamed("u", "uc").withColumnRenamed("own", "u")
+def _patterns(m: Mined) -> DataFrame:
+    return _stack([k.select("g", "key", "sup", "u") for k in m.kept])
 
 
 def _named(rows: DataFrame, m: Mined) -> DataFrame:
     return named(rows, m.ranks).select("items", F.col("sup").alias("support"), F.col("u").alias("utility"))
 
 
-def high_utility_generators(m: Mined, util: DataFrame, theta: int) -> DataFrame:
+def high_utility_generators(m: Mined, theta: int) -> DataFrame:
     """(items, support, utility): generators with u(X) >= theta."""
-    return _named(pattern_utilities(m, util, _all(m.kept)).where(F.col("u") >= theta), m)
+    return _named(_patterns(m).where(F.col("u") >= theta), m)
 
 
-def ghui(m: Mined, util: DataFrame, theta: int) -> DataFrame:
-    """(items, support, utility, closure_utility): generators whose closure has u >= theta."""
-    rows = generator_utilities(m, util).where(F.col("uc") >= theta).select("g", "key", "sup", "u", "uc")
+def ghui(m: Mined, theta: int) -> DataFrame:
+    """(items, support, utility, closure_utility): generators (a run with closures) whose closure has u >= theta."""
+    rows = _stack([c.select("g", "key", "sup", "u", "uc") for c in m.closed]).where(F.col("uc") >= theta)
     return named(rows, m.ranks).select("items", F.col("sup").alias("support"), F.col("u").alias("utility"), F.col("uc").alias("closure_utility"))
 
 
-def utility_minimal(m: Mined, util: DataFrame, theta: int) -> DataFrame:
+def utility_minimal(m: Mined, theta: int) -> DataFrame:
     """(items, support, utility): itemsets (a run with generators=False) with u >= theta no immediate subset of which has it."""
-    u = cut(pattern_utilities(m, util, _all(m.kept)).select("g", "key", "sup", "u"))
-    high = u.where(F.col("u") >= theta)
+    high = _patterns(m).where(F.col("u") >= theta)
     sub = high.where(F.size("key") > 1).select("g", "key", F.explode(subsets_of(F.col("key"))).alias("sub"))
     bad = sub.join(high.select("g", F.col("key").alias("sub")), ["g", "sub"], "left_semi").select("g", "key").distinct()
     return _named(high.join(bad, ["g", "key"], "left_anti"), m)

@@ -15,10 +15,16 @@ def day_windows(tx: DataFrame, order: str, size: int, slide: int) -> DataFrame:
     return tx.where(F.col(order).isNotNull()).withColumn("window_id", F.explode(F.sequence(first, last, F.lit(slide).cast("long"))))
 
 
-def windowed_generators(tx: DataFrame, order: str, size: int, slide: int, absolute: int, max_size: int | None = 3) -> DataFrame:
-    """(window_id, items, size, support): minimal generators of each window, without the empty set.
+def windowed_generators(tx: DataFrame, order: str, size: int, slide: int, absolute: int, max_size: int | None = None) -> DataFrame:
+    """(window_id, items, size, support): minimal generators of each window, of any size unless the caller sets one, without the empty set.
 
     The window is a key of every step, so all windows are mined in the same few jobs.
     """
     db = itemsets.as_database(day_windows(tx, order, size, slide), "window_id")
     return itemsets.minimal_generators(itemsets.mine(db, absolute=absolute, max_size=max_size), "never").withColumnRenamed("g", "window_id")
+
+
+def windowed_closures(tx: DataFrame, order: str, size: int, slide: int, absolute: int, max_size: int | None = None) -> DataFrame:
+    """(window_id, generator, closure, support) of each window, the empty generator included."""
+    db = itemsets.as_database(day_windows(tx, order, size, slide), "window_id")
+    return itemsets.generator_closures(itemsets.mine(db, absolute=absolute, max_size=max_size, closures=True)).withColumnRenamed("g", "window_id")

@@ -19,14 +19,14 @@ def window_baskets(events: DataFrame, ts: str, tid: str, item: str, size: str, s
     return g.select(F.col("window.start").alias("window_start"), "tid", "items")
 
 
-def mine_windows(baskets: DataFrame, absolute: int, max_size: int = 3) -> DataFrame:
+def mine_windows(baskets: DataFrame, absolute: int, max_size: int | None = None) -> DataFrame:
     """(window_start, items, size, support): generators of each window of a batch of finished baskets."""
     rows = baskets.select(F.unix_micros("window_start").alias("w"), F.xxhash64(F.col("tid").cast("string")).alias("tid"), F.explode("items").alias("item"))
     found = itemsets.minimal_generators(itemsets.mine(itemsets.as_database(rows, "w"), absolute=absolute, max_size=max_size), "never")
     return found.select(F.timestamp_micros("g").alias("window_start"), "items", "size", "support")
 
 
-def start(events: DataFrame, path: str, checkpoint: str, absolute: int, *, ts: str = "ts", tid: str = "user_id", item: str = "event_type", size: str = "1 day", slide: str = "1 day", watermark: str = "1 hour", max_size: int = 3, once: bool = True) -> StreamingQuery:
+def start(events: DataFrame, path: str, checkpoint: str, absolute: int, *, ts: str = "ts", tid: str = "user_id", item: str = "event_type", size: str = "1 day", slide: str = "1 day", watermark: str = "1 hour", max_size: int | None = None, once: bool = True) -> StreamingQuery:
     """Mine finished windows batch by batch into `path`, one folder per batch, overwritten if the batch runs again (so: exactly once).
 
     A window's transactions leave the state together, in the batch in which the watermark passes the window's end.

@@ -18,7 +18,7 @@ def as_dict(df, key="items", value="support"):
 
 
 def test_generators_closures_and_borders(spark):
-    m = itemsets.mine(db(spark, ["ab", "ab", "abc", "c"]), absolute=1)
+    m = itemsets.mine(db(spark, ["ab", "ab", "abc", "c"]), absolute=1, closures=True)
     assert as_dict(itemsets.minimal_generators(m)) == {"": 4, "a": 3, "b": 3, "c": 2, "a|c": 1, "b|c": 1}
     pairs = as_dict(itemsets.generator_closures(m), "generator", "closure")
     assert pairs == {"": "", "a": "a|b", "b": "a|b", "c": "c", "a|c": "a|b|c", "b|c": "a|b|c"}
@@ -30,7 +30,7 @@ def test_generators_closures_and_borders(spark):
 
 
 def test_full_support_item(spark):
-    m = itemsets.mine(db(spark, ["ax", "bx", "x"]), absolute=1)
+    m = itemsets.mine(db(spark, ["ax", "bx", "x"]), absolute=1, closures=True)
     assert as_dict(itemsets.minimal_generators(m)) == {"": 3, "a": 1, "b": 1}
     assert as_dict(itemsets.generator_closures(m), "generator", "closure") == {"": "x", "a": "a|x", "b": "b|x"}
     assert as_dict(itemsets.positive_border(m)) == {"x": 3}
@@ -45,7 +45,7 @@ def test_random_databases_follow_the_definitions(spark, seed):
     rows = ["".join(x for x in "abcde" if rnd.random() < 0.6) for _ in range(9)]
     rows = [r for r in rows if r]
     n, m = len(rows), 2
-    sup = {c: sum(set(c) <= set(r) for r in rows) for k in range(4) for c in combinations("abcde", k)}
+    sup = {c: sum(set(c) <= set(r) for r in rows) for k in range(6) for c in combinations("abcde", k)}
     subs = lambda c: [c[:i] + c[i + 1 :] for i in range(len(c))]
     gens = {c for c in sup if sup[c] >= m and all(sup[s] > sup[c] for s in subs(c))} | {()}
     freq = {c: s for c, s in sup.items() if s >= m and c}
@@ -53,6 +53,12 @@ def test_random_databases_follow_the_definitions(spark, seed):
     run = itemsets.mine(db(spark, rows), absolute=m)
     assert as_dict(itemsets.minimal_generators(run)) == text({c: sup[c] for c in gens})
     assert as_dict(itemsets.recover_frequent(run)) == text(freq)
+    assert as_dict(itemsets.recover_frequent_positive(run)) == text(freq)
+    ask = spark.createDataFrame([(0, "|".join(c)) for c in sup] + [(0, "a|zz")], "g long, items string")
+    assert as_dict(itemsets.lookup_support(run, ask)) == {**text({c: s if s >= m else None for c, s in sup.items()}), "a|zz": None}
+    assert as_dict(itemsets.itemset_support(db(spark, rows), ask)) == {**text(sup), "a|zz": 0}
+    close = {c: "|".join(i for i in "abcde" if all(i in r for r in rows if set(c) <= set(r))) for c in gens}
+    assert as_dict(itemsets.generator_closures(itemsets.mine(db(spark, rows), absolute=m, closures=True)), "generator", "closure") == text(close)
     assert as_dict(itemsets.frequent_itemsets(itemsets.mine(db(spark, rows), absolute=m, generators=False))) == text(freq)
     neg = {c: sup[c] for c in sup if c and sup[c] < m and all(s in gens for s in subs(c)) and (len(c) > 1 or sup[c] > 0)}
     assert as_dict(itemsets.negative_border(run)) == text(neg)
@@ -83,12 +89,35 @@ def test_nulls_empty_and_repeats(spark):
 
 def test_utilities(spark):
     u = utility.utility_database(spark.createDataFrame([(1, "a", 2), (1, "a", 3), (1, "b", 2), (2, "a", 1), (2, "c", 9), (3, None, 4)], "tid long, item string, util long"))
-    m = utility.mine_utilities(u, 0)
-    assert as_dict(utility.high_utility_generators(m, u, 0), value="utility") == {"b": 2, "c": 9}
-    assert as_dict(utility.ghui(m, u, 7), value="closure_utility") == {"b": 7, "c": 10}
-    assert as_dict(utility.high_utility_generators(m, u, 7), value="utility") == {"c": 9}
-    f = itemsets.mine(itemsets.as_database(u), absolute=1, generators=False)
-    assert as_dict(utility.utility_minimal(f, u, 7), value="utility") == {"c": 9, "a|b": 7}
+    m = utility.mine_utilities(u, 0, closures=True)
+    assert as_dict(utility.high_utility_generators(m, 0), value="utility") == {"b": 2, "c": 9}
+    assert as_dict(utility.ghui(m, 7), value="closure_utility") == {"b": 7, "c": 10}
+    assert as_dict(utility.high_utility_generators(m, 7), value="utility") == {"c": 9}
+    f = utility.mine_utilities(u, 7, generators=False)
+    assert as_dict(utility.utility_minimal(f, 7), value="utility") == {"c": 9, "a|b": 7}
+
+
+def test_random_utilities(spark):
+    rnd = random.Random(5)
+    rows = [{x: rnd.randint(0, 9) for x in "abcdef" if rnd.random() < 0.7} for _ in range(12)]
+    rows = [r for r in rows if r]
+    u = utility.utility_database(spark.createDataFrame([(t, i, v) for t, r in enumerate(rows) for i, v in r.items()], "tid long, item string, util long"))
+    sets = [c for k in range(1, 7) for c in combinations("abcdef", k)]
+    cov = {c: [r for r in rows if set(c) <= set(r)] for c in [(), *sets]}
+    util = lambda c: sum(r[i] for r in cov[c] for i in c)
+    subs = lambda c: [c[:i] + c[i + 1 :] for i in range(len(c))]
+    gens = [c for c in sets if cov[c] and all(len(cov[s]) > len(cov[c]) for s in subs(c))]
+    close = {c: tuple(i for i in "abcdef" if all(i in r for r in cov[c])) for c in gens}
+    theta = sum(sum(r.values()) for r in rows) // 5
+    text = lambda d: {"|".join(c): s for c, s in d.items()}
+    m = utility.mine_utilities(u, theta, closures=True)
+    assert as_dict(utility.high_utility_generators(m, theta), value="utility") == text({c: util(c) for c in gens if util(c) >= theta})
+    uc = {c: sum(r[i] for r in cov[c] for i in close[c]) for c in gens}
+    assert as_dict(utility.ghui(m, theta), value="closure_utility") == text({c: v for c, v in uc.items() if v >= theta})
+    f = utility.mine_utilities(u, theta, generators=False)
+    low = {c: util(c) for c in sets if cov[c] and util(c) >= theta and not any(s and util(s) >= theta for s in subs(c))}
+    assert as_dict(utility.utility_minimal(f, theta), value="utility") == text(low)
+    assert max(map(len, gens)) > 3
 
 
 def test_thresholds():
