@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.conventions import threshold_column
-from ..session import cut
+from ..session import cut, cut_counted
 
 #: Candidates of one level beyond which mining stops with an error instead of filling the disks.
 MAX_CANDIDATES = 200_000_000
@@ -103,7 +103,7 @@ def mine(
     usable = singles.where("sup >= m").where(enough)
     first = usable.select("g", F.array("rank").alias("key"), "sup", *money, "n", "m")
     out = Mined(ranks, groups, _baskets(db, usable.select("g", "item", "rank"), value), singles)
-    kept = cut(first.where("sup < n") if generators else first)
+    kept = first.where("sup < n") if generators else first
     out.kept.append(kept.select("g", "key", "sup", *money))
     out.counted.append(first.select("g", "key", "sup"))
     part = out.baskets.select("g", "w", *(["tu"] if value else []), F.posexplode("items").alias("p", "e"), "items")
@@ -113,16 +113,15 @@ def mine(
         if max_size is not None and k > max_size + closures:
             break
         # equal remainders of a pattern are merged; with utilities they are left apart, as their arrays would have to be added
-        if not value:
-            part = part.groupBy(*[c for c in part.columns if c != "w"]).agg(F.sum("w").alias("w"))
-        part = cut(part)
+        if k > 2:
+            part = cut(part if value else part.groupBy(*[c for c in part.columns if c != "w"]).agg(F.sum("w").alias("w")))
         tag = lambda c, ahead: F.transform(c, lambda e: F.struct(e.alias("e"), F.lit(ahead).alias("ahead")))
         both = F.concat(tag("rest", True), tag("skip", False)) if closures else tag("rest", True)
         seen = part.select("g", "key", "w", *(["u", "tu"] if value else []), F.explode(both).alias("t")).select("*", F.col("t.ahead").alias("ahead"), F.col("t.e.x" if value else "t.e").alias("x"))
         sums = [F.sum(F.col("u") + F.col("t.e.v")).alias("u"), F.sum("t.e.v").alias("xv"), F.sum("tu").alias("twu")] if value else []
         met = seen.groupBy("g", "key", "x", "ahead").agg(F.sum("w").alias("sup"), *sums)
-        met = cut(met)
-        if met.count() > MAX_CANDIDATES:
+        met, n = cut_counted(met)
+        if n > MAX_CANDIDATES:
             raise RuntimeError(f"more than {MAX_CANDIDATES} candidates of size {k}; raise the threshold or lower max_size")
         if closures:
             own = out.kept[-1]
@@ -136,9 +135,9 @@ def mine(
         counts = met.where("ahead").select("g", F.concat("key", F.array("x")).alias("key"), "sup", *(["u", "twu"] if value else []))
         out.counted.append(counts.select("g", "key", "sup"))
         level = counts.join(groups, "g").where("sup >= m").where(enough).select("g", "key", "sup", *money)
-        kept = cut(_check(level, out.kept[-1], k, True).select("g", "key", "sup", *money)) if generators else cut(level)
+        kept, n = cut_counted(_check(level, out.kept[-1], k, True).select("g", "key", "sup", *money) if generators else level)
         out.kept.append(kept)
-        if kept.isEmpty():
+        if not n:
             break
         ext = part.select("*", F.posexplode("rest").alias("p", "e"))
         key = F.concat("key", F.array(_x("e", value))).alias("key")
@@ -205,7 +204,7 @@ def tagged_itemsets(m: Mined) -> DataFrame:
     flags = []
     for k, level in enumerate(m.kept, 1):
         flags.append(_check(level, low, k, False).select("g", "key", "sup", (F.col("sup") < F.col("below")).alias("is_generator")))
-    return _finish(_all(flags), m.ranks, "is_generator")
+    return _finish(_stack(flags), m.ranks, "is_generator")
 
 
 def with_empty(m: Mined, rule: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from fractions import Fraction
 
 from pyspark.sql import functions as F
 
 from .operators import audit, itemsets, profile, sequences, utility, windows
-from .session import cut
+from .session import checkpoint_dir, cut, load
 from .sources import fixtures as fx
+from .streaming import generators as streams
 
 # ------------------------------------------------------------------ SQL building blocks
 
@@ -28,39 +30,37 @@ U2 = "SELECT l_orderkey AS tid, p_brand AS item, CAST(sum(CAST(round(l_extendedp
 def m_sql(sigma: str, side: str = "ceil") -> str:
     f = Fraction(sigma)
     p, q = f.numerator, f.denominator
-    x = f"(SELECT count(DISTINCT tid) FROM tx) * {p}"
+    x = f"n * {p}"
     whole = {"floor": f"{x} // {q}", "ceil": f"({x} + {q - 1}) // {q}", "round": f"CASE WHEN 2 * (({x}) % {q}) > {q} OR (2 * (({x}) % {q}) = {q} AND (({x}) // {q}) % 2 = 1) THEN ({x}) // {q} + 1 ELSE ({x}) // {q} END"}[side]
     return f"greatest(1, {whole})"
 
 
-def levels_sql(tx: str, m: str) -> str:
-    """CTEs: tx, p (n, m), f1/f2/f3 frequent and g1/g2/g3 generators with their items a, b, c and support s."""
-    pair = lambda x, y: f"(SELECT s FROM f2 WHERE f2.a = f3.{x} AND f2.b = f3.{y})"
+def levels_sql(tx: str, m: str, g: str = "0") -> str:
+    """CTEs of all sizes: tx, p (g, n, m), f1 frequent items, cov frequent pattern x transaction, fr frequent sets, lo their smallest and
+    equal immediate subsets, gn generators. Patterns are sorted lists; the recursion ends with the first empty size."""
+    src = f"SELECT {g} AS g, tid, item FROM ({tx})"
     return (
-        f"WITH tx AS ({tx}), p AS (SELECT (SELECT count(DISTINCT tid) FROM tx) AS n, {m} AS m), "
-        "i1 AS (SELECT item AS a, count(*) AS s FROM tx GROUP BY item), f1 AS (SELECT a, s FROM i1, p WHERE s >= m), ft AS (SELECT tid, item FROM tx JOIN f1 ON item = a), "
-        "c2 AS (SELECT x.item AS a, y.item AS b, count(*) AS s FROM ft x JOIN ft y ON x.tid = y.tid AND x.item < y.item GROUP BY ALL), f2 AS (SELECT a, b, s FROM c2, p WHERE s >= m), "
-        "c3 AS (SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS s FROM ft x JOIN ft y ON x.tid = y.tid AND x.item < y.item JOIN ft z ON z.tid = y.tid AND y.item < z.item GROUP BY ALL), f3 AS (SELECT a, b, c, s FROM c3, p WHERE s >= m), "
-        "g1 AS (SELECT a, s FROM f1, p WHERE s < n), g2 AS (SELECT f2.a, f2.b, f2.s FROM f2 JOIN f1 x ON x.a = f2.a JOIN f1 y ON y.a = f2.b WHERE f2.s < x.s AND f2.s < y.s AND f2.a IN (SELECT a FROM g1) AND f2.b IN (SELECT a FROM g1)), "
-        f"g3 AS (SELECT * FROM f3 WHERE s < {pair('a', 'b')} AND s < {pair('a', 'c')} AND s < {pair('b', 'c')} AND (a, b) IN (SELECT (a, b) FROM g2) AND (a, c) IN (SELECT (a, b) FROM g2) AND (b, c) IN (SELECT (a, b) FROM g2)) "
+        f"WITH RECURSIVE tx AS ({src}), p AS (SELECT g, n, {m} AS m FROM (SELECT g, count(DISTINCT tid) AS n FROM tx GROUP BY g)), "
+        "i1 AS (SELECT g, item, count(*) AS s FROM tx GROUP BY ALL), f1 AS (SELECT g, item, s, n, m FROM i1 JOIN p USING (g) WHERE s >= m), ft AS (SELECT tx.g, tid, tx.item, m FROM tx JOIN f1 ON f1.g = tx.g AND f1.item = tx.item), "
+        "cov(g, k, items, item, tid, m) AS (SELECT g, 1, [item], item, tid, m FROM ft UNION ALL SELECT * FROM (SELECT cov.g, k + 1, list_append(cov.items, y.item), y.item, cov.tid, cov.m FROM cov JOIN ft y ON y.g = cov.g AND y.tid = cov.tid AND y.item > cov.item) "
+        "t(g, k, items, item, tid, m) QUALIFY count(*) OVER (PARTITION BY g, items) >= m), "
+        "fr AS (SELECT g, k, items, count(*) AS s FROM cov GROUP BY ALL), su AS (SELECT g, k, items, s, i, list_filter(items, lambda x, j: j <> i) AS less FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM fr)), "
+        "lo AS (SELECT su.g, su.k, su.items, su.s, su.i, su.less, coalesce(f.s, p.n) AS low FROM su JOIN p USING (g) LEFT JOIN fr f ON f.g = su.g AND f.items = su.less), "
+        "gn AS (SELECT g, k, items, s FROM lo GROUP BY ALL HAVING min(low) > s) "
     )
 
 
-def three(prefix: str, extra: str = "", where: str = "") -> str:
-    return (
-        f"SELECT a AS items, 1 AS size, s AS support{extra} FROM {prefix}1{where} UNION ALL SELECT a || '|' || b AS items, 2 AS size, s AS support{extra} FROM {prefix}2{where} "
-        f"UNION ALL SELECT a || '|' || b || '|' || c AS items, 3 AS size, s AS support{extra} FROM {prefix}3{where}"
-    )
+def rows_sql(table: str, extra: str = "", where: str = "") -> str:
+    return f"SELECT array_to_string(items, '|') AS items, k AS size, s AS support{extra} FROM {table}{where}"
 
 
 EMPTY = " UNION ALL SELECT '' AS items, 0 AS size, n AS support FROM p"
-#: Generators as long rows and the items that share all their transactions.
+#: Generators with their closures: the items that all their transactions hold.
 CLOSE = (
-    ", gl AS (SELECT '' AS gen, n AS s, 0 AS k FROM p UNION ALL SELECT a, s, 1 FROM g1 UNION ALL SELECT a || '|' || b, s, 2 FROM g2 UNION ALL SELECT a || '|' || b || '|' || c, s, 3 FROM g3), "
-    "gi AS (SELECT gen, s, k, unnest(string_split(gen, '|')) AS item FROM gl WHERE k > 0), "
-    "cov AS (SELECT gen, s, tid FROM gi JOIN tx USING (item) GROUP BY gen, s, k, tid HAVING count(*) = k UNION ALL SELECT gen, s, tid FROM gl, (SELECT DISTINCT tid FROM tx) WHERE k = 0), "
-    "ci AS (SELECT gen, s, item FROM cov JOIN tx USING (tid) GROUP BY gen, s, item HAVING count(*) = s), "
-    "cl AS (SELECT gl.gen, gl.s, coalesce((SELECT string_agg(item, '|' ORDER BY item) FROM ci WHERE ci.gen = gl.gen), '') AS closure FROM gl) "
+    ", ge AS (SELECT g, items, s FROM gn UNION ALL SELECT g, CAST([] AS VARCHAR[]), n FROM p), "
+    "ct AS (SELECT gn.g, gn.items, gn.s, cov.tid FROM gn JOIN cov ON cov.g = gn.g AND cov.items = gn.items UNION ALL SELECT p.g, CAST([] AS VARCHAR[]), p.n, t.tid FROM p JOIN (SELECT DISTINCT g, tid FROM tx) t ON t.g = p.g), "
+    "ci AS (SELECT ct.g, ct.items, ct.s, tx.item FROM ct JOIN tx ON tx.g = ct.g AND tx.tid = ct.tid GROUP BY ALL HAVING count(*) = ct.s), "
+    "cl AS (SELECT ge.g, array_to_string(ge.items, '|') AS gen, ge.s, coalesce(string_agg(ci.item, '|' ORDER BY ci.item), '') AS closure FROM ge LEFT JOIN ci ON ci.g = ge.g AND ci.items = ge.items GROUP BY ALL) "
 )
 
 Q: dict = {}
@@ -79,51 +79,45 @@ def _drop(df):
     return df.drop("g")
 
 
+def _triples(spark, d):
+    """All triples of brands, as patterns to be counted."""
+    b = load(spark, d, "part").select("p_brand").distinct()
+    x, y, z = (b.withColumnRenamed("p_brand", c) for c in "xyz")
+    return x.join(y, F.col("x") < F.col("y")).join(z, F.col("y") < F.col("z")).select(F.concat_ws("|", "x", "y", "z").alias("items"))
+
+
 L1 = levels_sql(T1, m_sql("0.01"))
 Q["minimal_generators"] = lambda spark, d: _drop(itemsets.minimal_generators(_mine1(spark, d)))
-S["minimal_generators"] = L1 + three("g") + EMPTY
+S["minimal_generators"] = L1 + rows_sql("gn") + EMPTY
 for _side in ("floor", "ceil", "round"):
     Q[f"minimal_generators_{_side}"] = lambda spark, d, side=_side: _drop(itemsets.minimal_generators(_mine1(spark, d, side, "0.0053"), "never"))
-    S[f"minimal_generators_{_side}"] = levels_sql(T1, m_sql("0.0053", _side)) + three("g")
+    S[f"minimal_generators_{_side}"] = levels_sql(T1, m_sql("0.0053", _side)) + rows_sql("gn")
 Q["minimal_generators_words"] = lambda spark, d: _drop(itemsets.minimal_generators(itemsets.mine(itemsets.as_database(fx.document_words(spark, d)), "0.3"), "no_full_support_item"))
-S["minimal_generators_words"] = levels_sql(K1, m_sql("0.3")) + three("g") + " UNION ALL SELECT '', 0, n FROM p WHERE n > (SELECT max(s) FROM i1)"
+S["minimal_generators_words"] = levels_sql(K1, m_sql("0.3")) + rows_sql("gn") + " UNION ALL SELECT '', 0, n FROM p WHERE n > (SELECT max(s) FROM i1)"
 Q["frequent_itemsets"] = lambda spark, d: _drop(itemsets.frequent_itemsets(_mine1(spark, d, generators=False)))
-S["frequent_itemsets"] = L1 + three("f")
+S["frequent_itemsets"] = L1 + rows_sql("fr")
 Q["pascal_tagged"] = lambda spark, d: _drop(itemsets.tagged_itemsets(_mine1(spark, d, generators=False)))
-S["pascal_tagged"] = (
-    L1 + "SELECT items, size, support, items IN (SELECT items FROM (" + three("g") + ")) AS is_generator FROM (" + three("f") + ")"
-)
-Q["closures"] = lambda spark, d: _drop(itemsets.generator_closures(_mine1(spark, d)))
+S["pascal_tagged"] = L1 + rows_sql("fr", ", (g, items) IN (SELECT (g, items) FROM gn) AS is_generator")
+Q["closures"] = lambda spark, d: _drop(itemsets.generator_closures(_mine1(spark, d, closures=True)))
 S["closures"] = L1 + CLOSE + "SELECT gen AS generator, closure, s AS support FROM cl"
-Q["closed_itemsets"] = lambda spark, d: _drop(itemsets.closed_itemsets(_mine1(spark, d)))
+Q["closed_itemsets"] = lambda spark, d: _drop(itemsets.closed_itemsets(_mine1(spark, d, closures=True)))
 S["closed_itemsets"] = L1 + CLOSE + "SELECT DISTINCT closure AS items, s AS support FROM cl"
-Q["generator_closure_pairs"] = lambda spark, d: _drop(itemsets.equivalence_classes(_mine1(spark, d)))
+Q["generator_closure_pairs"] = lambda spark, d: _drop(itemsets.equivalence_classes(_mine1(spark, d, closures=True)))
 S["generator_closure_pairs"] = L1 + CLOSE + "SELECT closure, s AS support, count(*) AS n_generators, string_agg(gen, ' ; ' ORDER BY gen) AS generators FROM cl GROUP BY closure, s"
-Q["exact_rules"] = lambda spark, d: _drop(itemsets.exact_rules(_mine1(spark, d)))
-S["exact_rules"] = (
-    L1 + CLOSE + "SELECT gen AS antecedent, string_agg(item, '|' ORDER BY item) AS consequent, s AS support FROM ci WHERE item NOT IN (SELECT gi.item FROM gi WHERE gi.gen = ci.gen) GROUP BY gen, s"
-)
-
-# k-free sets up to size 3; s1(x) and s2(x, y) are supports of subsets
-_S1 = lambda t, x: f"(SELECT s FROM f1 WHERE f1.a = {t}.{x})"
-_S2 = lambda t, x, y: f"(SELECT s FROM f2 WHERE f2.a = {t}.{x} AND f2.b = {t}.{y})"
+Q["exact_rules"] = lambda spark, d: _drop(itemsets.exact_rules(_mine1(spark, d, closures=True)))
+S["exact_rules"] = L1 + CLOSE + "SELECT array_to_string(items, '|') AS antecedent, string_agg(item, '|' ORDER BY item) AS consequent, s AS support FROM ci WHERE NOT list_contains(items, item) GROUP BY items, s"
 
 
 def _kfree_sql(tx: str, m: str, k: int) -> str:
-    t = "g3"
-    more = f" AND s <> {_S2(t, 'a', 'b')} + {_S2(t, 'a', 'c')} + {_S2(t, 'b', 'c')} - {_S1(t, 'a')} - {_S1(t, 'b')} - {_S1(t, 'c')} + n" if k >= 3 else ""
+    """A set is k-free if each way to leave out 1 to k of its items is the exact trace of some transaction on it."""
     return (
-        levels_sql(tx, m) + f", k1 AS (SELECT * FROM g1), k2 AS (SELECT g2.* FROM g2, p WHERE s <> {_S1('g2', 'a')} + {_S1('g2', 'b')} - n), "
-        f"k3 AS (SELECT g3.* FROM g3, p WHERE (a, b) IN (SELECT (a, b) FROM k2) AND (a, c) IN (SELECT (a, b) FROM k2) AND (b, c) IN (SELECT (a, b) FROM k2) "
-        f"AND s <> {_S2(t, 'a', 'b')} + {_S2(t, 'a', 'c')} - {_S1(t, 'a')} AND s <> {_S2(t, 'a', 'b')} + {_S2(t, 'b', 'c')} - {_S1(t, 'b')} AND s <> {_S2(t, 'a', 'c')} + {_S2(t, 'b', 'c')} - {_S1(t, 'c')}{more}) "
-        + three("k") + EMPTY
+        levels_sql(tx, m) + ", ba AS (SELECT g, tid, list(item) AS b FROM tx GROUP BY g, tid), tr AS (SELECT DISTINCT fr.g, fr.items, fr.k, fr.s, list_filter(fr.items, lambda x: list_contains(ba.b, x)) AS trace FROM fr JOIN ba USING (g)), "
+        f"va AS (SELECT fr.*, coalesce(list_sum([list_product([(fr.k - i)::DOUBLE / (i + 1) for i in range(j)]) for j in range(1, least(fr.k, {k}) + 1)]), 0) AS want FROM fr), "
+        f"kf AS (SELECT va.g, va.items, va.k, va.s FROM va LEFT JOIN tr ON tr.g = va.g AND tr.items = va.items AND va.k - len(tr.trace) BETWEEN 1 AND {k} GROUP BY va.g, va.items, va.k, va.s, va.want HAVING count(tr.trace) = round(va.want)) "
+        + rows_sql("kf") + EMPTY
     )
 
 
-def _words(spark, d, sigma="0.4", **kw):
-    return itemsets.mine(itemsets.as_database(fx.document_words(spark, d)), sigma, **kw)
-
-
 def _types(spark, d, sigma="0.3", **kw):
     return itemsets.mine(itemsets.as_database(fx.order_types(spark, d)), sigma, **kw)
 
@@ -133,30 +127,47 @@ S["disjunction_free"] = _kfree_sql(T1, m_sql("0.01"), 2)
 Q["kfree_3"] = lambda spark, d: _drop(itemsets.k_free(_mine1(spark, d), 3))
 S["kfree_3"] = _kfree_sql(T1, m_sql("0.01"), 3)
 Q["positive_border"] = lambda spark, d: _drop(itemsets.positive_border(_mine1(spark, d)))
-_B2 = "b2 AS (SELECT f2.a, f2.b, f2.s, CASE WHEN f2.s = y.s THEN f2.a ELSE f2.b END AS r FROM f2 JOIN g1 x ON x.a = f2.a JOIN g1 y ON y.a = f2.b WHERE f2.s = x.s OR f2.s = y.s)"
-_B3 = (
-    f"b3 AS (SELECT f3.*, CASE WHEN s = {_S2('f3', 'b', 'c')} THEN a WHEN s = {_S2('f3', 'a', 'c')} THEN b ELSE c END AS r FROM f3 WHERE (a, b) IN (SELECT (a, b) FROM g2) AND (a, c) IN (SELECT (a, b) FROM g2) AND (b, c) IN (SELECT (a, b) FROM g2) "
-    f"AND s IN ({_S2('f3', 'a', 'b')}, {_S2('f3', 'a', 'c')}, {_S2('f3', 'b', 'c')}))"
+S["positive_border"] = L1 + (
+    ", bo AS (SELECT g, k, items, s, min(items[i]) FILTER (low = s) AS r, bool_and(less = [] OR (g, less) IN (SELECT (g, items) FROM gn)) AS ok FROM lo GROUP BY g, k, items, s) " + rows_sql("bo", ", r AS redundant_item", " WHERE ok AND r IS NOT NULL")
 )
-S["positive_border"] = L1 + f", b1 AS (SELECT a, s, a AS r FROM f1, p WHERE s = n), {_B2}, {_B3} " + three("b", ", r AS redundant_item")
+# infrequent items, and infrequent sets (of support 0 too) all of whose immediate subsets are frequent generators
 _NEG = (
-    "n1 AS (SELECT a, s FROM i1, p WHERE s < m), n2 AS (SELECT x.a, y.a AS b, coalesce(c2.s, 0) AS s FROM g1 x JOIN g1 y ON x.a < y.a LEFT JOIN c2 ON c2.a = x.a AND c2.b = y.a, p WHERE coalesce(c2.s, 0) < m), "
-    "n3 AS (SELECT x.a, x.b, y.b AS c, coalesce(c3.s, 0) AS s FROM g2 x JOIN g2 y ON x.a = y.a AND x.b < y.b JOIN g2 z ON z.a = x.b AND z.b = y.b LEFT JOIN c3 ON c3.a = x.a AND c3.b = x.b AND c3.c = y.b, p WHERE coalesce(c3.s, 0) < m) "
+    ", ca AS (SELECT gn.g, gn.k + 1 AS k, gn.items AS head, f1.item, list_append(gn.items, f1.item) AS items FROM gn JOIN f1 ON f1.g = gn.g AND f1.item > gn.items[-1] WHERE (gn.g, list_append(gn.items, f1.item)) NOT IN (SELECT (g, items) FROM fr)), "
+    "cs AS (SELECT * FROM (SELECT *, list_filter(items, lambda x, j: j <> i) AS less FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM ca))), "
+    "cg AS (SELECT cs.g, cs.k, cs.head, cs.item, cs.items FROM cs JOIN gn ON gn.g = cs.g AND gn.items = cs.less GROUP BY ALL HAVING count(*) = cs.k), "
+    "nb AS (SELECT g, 1 AS k, [item] AS items, s FROM i1 JOIN p USING (g) WHERE s < m UNION ALL SELECT cg.g, cg.k, cg.items, count(tx.tid) FROM cg LEFT JOIN cov ON cov.g = cg.g AND cov.items = cg.head LEFT JOIN tx ON tx.g = cov.g AND tx.tid = cov.tid AND tx.item = cg.item GROUP BY ALL) "
 )
 Q["negative_border"] = lambda spark, d: _drop(itemsets.negative_border(_mine1(spark, d)))
-S["negative_border"] = L1 + ", " + _NEG + three("n")
-Q["minimal_rare"] = lambda spark, d: _drop(itemsets.minimal_rare(itemsets.mine(itemsets.as_database(fx.order_brands(spark, d)), "0.02", max_size=2)))
-S["minimal_rare"] = levels_sql(T5, m_sql("0.02")) + ", " + _NEG + "SELECT a AS items, 1 AS size, s AS support FROM n1 UNION ALL SELECT a || '|' || b, 2, s FROM n2"
+S["negative_border"] = L1 + _NEG + rows_sql("nb")
+Q["minimal_rare"] = lambda spark, d: _drop(itemsets.minimal_rare(itemsets.mine(itemsets.as_database(fx.order_brands(spark, d)), "0.02")))
+S["minimal_rare"] = levels_sql(T5, m_sql("0.02")) + _NEG + rows_sql("nb")
 Q["minimal_rare_both_sides"] = lambda spark, d: (
-    _drop(itemsets.minimal_rare(_mine1(spark, d, "floor", "0.0053", max_size=2))).withColumn("side", F.lit("floor")).unionAll(_drop(itemsets.minimal_rare(_mine1(spark, d, "ceil", "0.0053", max_size=2))).withColumn("side", F.lit("ceil")))
-)
-S["minimal_rare_both_sides"] = " UNION ALL ".join(
-    "SELECT *, '" + s + "' AS side FROM (" + levels_sql(T1, m_sql("0.0053", s)) + ", " + _NEG + "SELECT a AS items, 1 AS size, s AS support FROM n1 UNION ALL SELECT a || '|' || b, 2, s FROM n2)" for s in ("floor", "ceil")
+    _drop(itemsets.minimal_rare(_mine1(spark, d, "floor", "0.0053"))).withColumn("side", F.lit("floor")).unionAll(_drop(itemsets.minimal_rare(_mine1(spark, d, "ceil", "0.0053"))).withColumn("side", F.lit("ceil")))
 )
+S["minimal_rare_both_sides"] = " UNION ALL ".join("SELECT *, '" + s + "' AS side FROM (" + levels_sql(T1, m_sql("0.0053", s)) + _NEG + rows_sql("nb") + ")" for s in ("floor", "ceil"))
 Q["cover_items"] = lambda spark, d: _drop(itemsets.cover_items(_types(spark, d, max_size=1)))
 S["cover_items"] = f"WITH tx AS ({T4}) SELECT item FROM tx GROUP BY item HAVING count(*) = (SELECT count(DISTINCT tid) FROM tx)"
 Q["recover_frequent"] = lambda spark, d: _drop(itemsets.recover_frequent(_mine1(spark, d)))
 S["recover_frequent"] = S["frequent_itemsets"]
+Q["recover_frequent_positive"] = lambda spark, d: _drop(itemsets.recover_frequent_positive(_mine1(spark, d)))
+S["recover_frequent_positive"] = S["frequent_itemsets"]
+
+
+def _lookup(spark, d):
+    """Supports of all pairs of items of the database, read off generators and negative border."""
+    m = _mine1(spark, d)
+    one = m.singles.select("g", "item")
+    pairs = one.join(one.withColumnRenamed("item", "other"), "g").where("item < other").select("g", F.concat_ws("|", "item", "other").alias("items"))
+    return _drop(itemsets.lookup_support(m, pairs))
+
+
+Q["lookup_support"] = _lookup
+S["lookup_support"] = L1 + "SELECT x.item || '|' || y.item AS items, fr.s AS support FROM i1 x JOIN i1 y ON x.g = y.g AND x.item < y.item LEFT JOIN fr ON fr.g = x.g AND fr.items = [x.item, y.item]"
+Q["itemset_support"] = lambda spark, d: itemsets.itemset_support(itemsets.as_database(fx.order_brands(spark, d)), _triples(spark, d))
+S["itemset_support"] = (
+    f"WITH tx AS ({T5}), b AS (SELECT DISTINCT p_brand AS x FROM part), q AS (SELECT u.x AS a, v.x AS b, w.x AS c FROM b u JOIN b v ON u.x < v.x JOIN b w ON v.x < w.x) "
+    "SELECT a || '|' || b || '|' || c AS items, count(x.tid) AS support FROM q LEFT JOIN (SELECT x.tid, x.item AS i, y.item AS j, z.item AS k FROM tx x JOIN tx y ON x.tid = y.tid AND x.item < y.item JOIN tx z ON z.tid = x.tid AND y.item < z.item) x ON x.i = a AND x.j = b AND x.k = c GROUP BY ALL"
+)
 
 # ------------------------------------------------------------------ utilities
 
@@ -168,57 +179,58 @@ def _theta(util, share: int) -> int:
 def _hug(spark, d, share, fun, **kw):
     u = cut(utility.utility_database(fx.order_utilities(spark, d, "p_brand")))
     theta = _theta(u, share)
-    m = utility.mine_utilities(u, theta) if fun is not utility.utility_minimal else itemsets.mine(itemsets.as_database(u), absolute=1, generators=False)
-    return fun(m, u, theta)
+    return fun(utility.mine_utilities(u, theta, **kw), theta)
 
 
-_UL = levels_sql("SELECT tid, item FROM u", "1").replace("WITH tx AS", f"WITH u AS ({U2}), tx AS", 1)
+_UL = levels_sql("SELECT tid, item FROM u", "1").replace("WITH RECURSIVE tx AS", f"WITH RECURSIVE u AS ({U2}), tx AS", 1)
 _TH = "(SELECT CAST(sum(util) AS BIGINT) // {} FROM u)"
 _UT = (
-    ", gall AS (SELECT a AS items, s AS support FROM {p}1 UNION ALL SELECT a || '|' || b, s FROM {p}2 UNION ALL SELECT a || '|' || b || '|' || c, s FROM {p}3), "
-    "gx AS (SELECT items, support, unnest(string_split(items, '|')) AS item, len(string_split(items, '|')) AS k FROM gall), "
-    "ut AS (SELECT items, support, CAST(sum(x) AS BIGINT) AS utility FROM (SELECT items, support, tid, sum(util) AS x FROM gx JOIN u USING (item) GROUP BY items, support, k, tid HAVING count(*) = k) GROUP BY items, support) "
+    ", ut AS (SELECT array_to_string({p}.items, '|') AS items, {p}.k, {p}.items AS l, {p}.s AS support, CAST(sum(u.util) AS BIGINT) AS utility FROM {p} JOIN cov ON cov.items = {p}.items "
+    "JOIN u ON u.tid = cov.tid AND list_contains({p}.items, u.item) GROUP BY ALL) "
 )
 Q["high_utility_generators"] = lambda spark, d: _hug(spark, d, 150, utility.high_utility_generators)
-S["high_utility_generators"] = _UL + _UT.format(p="g") + f"SELECT items, support, utility FROM ut WHERE utility >= {_TH.format(150)}"
+S["high_utility_generators"] = _UL + _UT.format(p="gn") + f"SELECT items, support, utility FROM ut WHERE utility >= {_TH.format(150)}"
 Q["itemset_utility"] = lambda spark, d: _hug(spark, d, 10**15, utility.high_utility_generators)
-S["itemset_utility"] = _UL + _UT.format(p="g") + "SELECT items, support, utility FROM ut"
-Q["utility_minimal"] = lambda spark, d: _hug(spark, d, 60, utility.utility_minimal)
+S["itemset_utility"] = _UL + _UT.format(p="gn") + "SELECT items, support, utility FROM ut"
+Q["utility_minimal"] = lambda spark, d: _hug(spark, d, 60, utility.utility_minimal, generators=False)
 S["utility_minimal"] = (
-    _UL + _UT.format(p="f") + f", hi AS (SELECT *, string_split(items, '|') AS l FROM ut WHERE utility >= {_TH.format(60)}) "
-    "SELECT items, support, utility FROM hi h WHERE NOT EXISTS (SELECT 1 FROM hi o WHERE len(o.l) = len(h.l) - 1 AND list_has_all(h.l, o.l))"
+    _UL + _UT.format(p="fr") + f", hi AS (SELECT * FROM ut WHERE utility >= {_TH.format(60)}), ha AS (SELECT DISTINCT h.items FROM (SELECT items, l, unnest(range(1, k + 1)) AS i FROM hi) h JOIN hi o ON o.l = list_filter(h.l, lambda x, j: j <> h.i)) "
+    "SELECT items, support, utility FROM hi WHERE items NOT IN (SELECT items FROM ha)"
 )
 _GH = (
-    _UL + ", gall AS (SELECT a AS items, s AS support FROM g1 UNION ALL SELECT a || '|' || b, s FROM g2 UNION ALL SELECT a || '|' || b || '|' || c, s FROM g3), "
-    "gx AS (SELECT items, support, unnest(string_split(items, '|')) AS item, len(string_split(items, '|')) AS k FROM gall), "
-    "cov AS (SELECT items, support, tid, sum(util) AS x FROM gx JOIN u USING (item) GROUP BY items, support, k, tid HAVING count(*) = k), "
-    "ci AS (SELECT items, support, u.item, sum(util) AS ui FROM cov JOIN u USING (tid) GROUP BY items, support, u.item HAVING count(*) = support), "
-    "gh AS (SELECT items, support, (SELECT CAST(sum(x) AS BIGINT) FROM cov c WHERE c.items = ci.items) AS utility, CAST(sum(ui) AS BIGINT) AS closure_utility FROM ci GROUP BY items, support) "
+    _UL + CLOSE + ", gh AS (SELECT ci.items, ci.s AS support, CAST(sum(u.util) FILTER (list_contains(ci.items, ci.item)) AS BIGINT) AS utility, CAST(sum(u.util) AS BIGINT) AS closure_utility FROM ci JOIN cov ON cov.items = ci.items JOIN u ON u.tid = cov.tid AND u.item = ci.item GROUP BY ci.items, ci.s) "
 )
-Q["ghui"] = lambda spark, d: _hug(spark, d, 150, utility.ghui)
-S["ghui"] = _GH + f"SELECT items, support, utility, closure_utility FROM gh WHERE closure_utility >= {_TH.format(150)}"
+Q["ghui"] = lambda spark, d: _hug(spark, d, 150, utility.ghui, closures=True)
+S["ghui"] = _GH + f"SELECT array_to_string(items, '|') AS items, support, utility, closure_utility FROM gh WHERE closure_utility >= {_TH.format(150)}"
 
 
 def _ghui_to_hug(spark, d):
     u = cut(utility.utility_database(fx.order_utilities(spark, d, "p_brand")))
     theta = _theta(u, 150)
-    return utility.ghui(utility.mine_utilities(u, theta), u, theta).where(F.col("utility") >= theta).select("items", "support", "utility")
+    return utility.ghui(utility.mine_utilities(u, theta, closures=True), theta).where(F.col("utility") >= theta).select("items", "support", "utility")
 
 
 Q["ghui_postfilter_hug"] = _ghui_to_hug
 S["ghui_postfilter_hug"] = S["high_utility_generators"]
+Q["pairs_to_generators"] = lambda spark, d: itemsets.generator_closures(_mine1(spark, d, closures=True)).select(F.col("generator").alias("items"), "support")
+S["pairs_to_generators"] = L1 + "SELECT items, support FROM (" + rows_sql("gn") + EMPTY + ")"
+Q["pairs_to_closed"] = lambda spark, d: itemsets.generator_closures(_mine1(spark, d, closures=True)).select(F.col("closure").alias("items"), "support").distinct()
+S["pairs_to_closed"] = L1 + CLOSE + "SELECT DISTINCT closure AS items, s AS support FROM cl"
 Q["transaction_weighted_utility"] = lambda spark, d: utility.transaction_weighted_utility(utility.utility_database(fx.order_utilities(spark, d, "p_brand")))
 S["transaction_weighted_utility"] = f"WITH u AS ({U2}), t AS (SELECT tid, sum(util) AS tu FROM u GROUP BY tid) SELECT item, CAST(sum(tu) AS BIGINT) AS twu FROM u JOIN t USING (tid) GROUP BY item"
 
 # ------------------------------------------------------------------ sequences
 
 _EV = "ev AS (SELECT user_id * 100000 + datediff('day', DATE '1970-01-01', CAST(ts AT TIME ZONE 'UTC' AS DATE)) AS sid, event_type AS e, row_number() OVER (PARTITION BY user_id, CAST(ts AT TIME ZONE 'UTC' AS DATE) ORDER BY ts, event_id) AS pos FROM events)"
+# earliest end of each frequent pattern in each sequence, of all lengths
 _SQ = (
-    f"WITH {_EV}, n AS (SELECT count(DISTINCT sid) AS n FROM ev), s1 AS (SELECT e AS a, count(DISTINCT sid) AS s FROM ev GROUP BY e), "
-    "s2 AS (SELECT x.e AS a, y.e AS b, count(DISTINCT x.sid) AS s FROM ev x JOIN ev y ON x.sid = y.sid AND x.pos < y.pos GROUP BY ALL), "
-    "s3 AS (SELECT x.e AS a, y.e AS b, z.e AS c, count(DISTINCT x.sid) AS s FROM ev x JOIN ev y ON x.sid = y.sid AND x.pos < y.pos JOIN ev z ON z.sid = y.sid AND y.pos < z.pos GROUP BY ALL) "
+    f"WITH RECURSIVE {_EV}, n AS (SELECT count(DISTINCT sid) AS n, greatest(1, (count(DISTINCT sid) + 49) // 50) AS m FROM ev), "
+    "st AS (SELECT e, sid, min(pos) AS pos, m FROM ev, n GROUP BY e, sid, m), cov(k, items, sid, pos, m) AS (SELECT 1, [e], sid, pos, m FROM st QUALIFY count(*) OVER (PARTITION BY e) >= m UNION ALL SELECT * FROM (SELECT k + 1, list_append(items, y.e), cov.sid, min(y.pos), m FROM cov JOIN ev y ON y.sid = cov.sid AND y.pos > cov.pos GROUP BY ALL) "
+    "t(k, items, sid, pos, m) QUALIFY count(*) OVER (PARTITION BY items) >= m), fr AS (SELECT k, items, count(*) AS s FROM cov GROUP BY ALL) "
+)
+_S2 = (
+    f"WITH {_EV}, s1 AS (SELECT e AS a, count(DISTINCT sid) AS s FROM ev GROUP BY e), s2 AS (SELECT x.e AS a, y.e AS b, count(DISTINCT x.sid) AS s FROM ev x JOIN ev y ON x.sid = y.sid AND x.pos < y.pos GROUP BY ALL) "
 )
-_MS = "(SELECT greatest(1, (n + 49) // 50) FROM n)"
 
 
 def _seq_min(data):
@@ -243,57 +255,49 @@ def _seq_support(spark, d):
 
 
 Q["sequential_patterns"] = _patterns
-S["sequential_patterns"] = _SQ + f"SELECT a AS pattern, 1 AS length, s AS support FROM s1 WHERE s >= {_MS} UNION ALL SELECT a || ' > ' || b, 2, s FROM s2 WHERE s >= {_MS} UNION ALL SELECT a || ' > ' || b || ' > ' || c, 3, s FROM s3 WHERE s >= {_MS}"
+S["sequential_patterns"] = _SQ + "SELECT array_to_string(items, ' > ') AS pattern, k AS length, s AS support FROM fr"
 Q["sequential_generators"] = _seq_gens
 S["sequential_generators"] = (
-    _SQ + f"SELECT a AS pattern, 1 AS length, s AS support FROM s1, n WHERE s >= {_MS} AND s < n UNION ALL SELECT s2.a || ' > ' || s2.b, 2, s2.s FROM s2 JOIN s1 x ON x.a = s2.a JOIN s1 y ON y.a = s2.b WHERE s2.s >= {_MS} AND s2.s < x.s AND s2.s < y.s "
-    f"UNION ALL SELECT s3.a || ' > ' || s3.b || ' > ' || s3.c, 3, s3.s FROM s3 JOIN s2 x ON x.a = s3.a AND x.b = s3.b JOIN s2 y ON y.a = s3.a AND y.b = s3.c JOIN s2 z ON z.a = s3.b AND z.b = s3.c WHERE s3.s >= {_MS} AND s3.s < x.s AND s3.s < y.s AND s3.s < z.s"
+    _SQ + ", su AS (SELECT fr.items, fr.k, fr.s, list_filter(fr.items, lambda x, j: j <> i) AS less FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM fr) fr), "
+    "lo AS (SELECT su.items, su.k, su.s, coalesce(f.s, n.n) AS low FROM su CROSS JOIN n LEFT JOIN fr f ON f.items = su.less) SELECT array_to_string(items, ' > ') AS pattern, k AS length, s AS support FROM lo GROUP BY items, k, s HAVING min(low) > s"
 )
 Q["sequence_support"] = _seq_support
-S["sequence_support"] = _SQ + "SELECT x.a || ' > ' || y.a AS pattern, coalesce(s2.s, 0) AS support FROM s1 x JOIN s1 y ON x.a <= y.a LEFT JOIN s2 ON s2.a = x.a AND s2.b = y.a"
+S["sequence_support"] = _S2 + "SELECT x.a || ' > ' || y.a AS pattern, coalesce(s2.s, 0) AS support FROM s1 x JOIN s1 y ON x.a <= y.a LEFT JOIN s2 ON s2.a = x.a AND s2.b = y.a"
 
 # ------------------------------------------------------------------ windows
 
 _WD = "SELECT DISTINCT user_id * 100000 + datediff('day', DATE '1970-01-01', CAST(ts AT TIME ZONE 'UTC' AS DATE)) AS tid, datediff('day', DATE '1970-01-01', CAST(ts AT TIME ZONE 'UTC' AS DATE)) AS day, event_type AS item FROM events"
 
 
+def _window_tx(size: int, slide: int) -> str:
+    return f"SELECT tid, item, unnest(generate_series((day - {size} - (((day - {size}) % {slide}) + {slide}) % {slide}) + {slide}, day - day % {slide}, {slide})) AS w FROM ({_WD})"
+
+
 def _window_sql(size: int, slide: int, m: int) -> str:
-    w = f"SELECT tid, item, unnest(generate_series((day - {size} - (((day - {size}) % {slide}) + {slide}) % {slide}) + {slide}, day - day % {slide}, {slide})) AS g FROM ({_WD})"
-    return (
-        f"WITH tx AS ({w}), n AS (SELECT g, count(DISTINCT tid) AS n FROM tx GROUP BY g), f1 AS (SELECT g, item AS a, count(*) AS s FROM tx GROUP BY ALL HAVING count(*) >= {m}), "
-        f"f2 AS (SELECT x.g, x.item AS a, y.item AS b, count(*) AS s FROM tx x JOIN tx y ON x.g = y.g AND x.tid = y.tid AND x.item < y.item GROUP BY ALL HAVING count(*) >= {m}), "
-        f"f3 AS (SELECT x.g, x.item AS a, y.item AS b, z.item AS c, count(*) AS s FROM tx x JOIN tx y ON x.g = y.g AND x.tid = y.tid AND x.item < y.item JOIN tx z ON z.g = y.g AND z.tid = y.tid AND y.item < z.item GROUP BY ALL HAVING count(*) >= {m}), "
-        "g1 AS (SELECT f1.g, a, s FROM f1 JOIN n USING (g) WHERE s < n), g2 AS (SELECT f2.g, f2.a, f2.b, f2.s FROM f2 JOIN g1 x ON x.g = f2.g AND x.a = f2.a JOIN g1 y ON y.g = f2.g AND y.a = f2.b WHERE f2.s < x.s AND f2.s < y.s) "
-        "SELECT g AS window_id, a AS items, 1 AS size, s AS support FROM g1 UNION ALL SELECT g, a || '|' || b, 2, s FROM g2 UNION ALL SELECT f3.g, f3.a || '|' || f3.b || '|' || f3.c, 3, f3.s FROM f3 JOIN g2 x ON x.g = f3.g AND x.a = f3.a AND x.b = f3.b "
-        "JOIN g2 y ON y.g = f3.g AND y.a = f3.a AND y.b = f3.c JOIN g2 z ON z.g = f3.g AND z.a = f3.b AND z.b = f3.c WHERE f3.s < x.s AND f3.s < y.s AND f3.s < z.s"
-    )
+    return levels_sql(_window_tx(size, slide), str(m), "w") + "SELECT g AS window_id, array_to_string(items, '|') AS items, k AS size, s AS support FROM gn"
 
 
 Q["windowed_generators_tumbling"] = lambda spark, d: windows.windowed_generators(fx.user_days(spark, d), "day", 7, 7, 5)
 S["windowed_generators_tumbling"] = _window_sql(7, 7, 5)
 Q["windowed_generators_sliding"] = lambda spark, d: windows.windowed_generators(fx.user_days(spark, d), "day", 6, 2, 8)
 S["windowed_generators_sliding"] = _window_sql(6, 2, 8)
+Q["windowed_closures"] = lambda spark, d: windows.windowed_closures(fx.user_days(spark, d), "day", 7, 7, 5)
+S["windowed_closures"] = levels_sql(_window_tx(7, 7), "5", "w") + CLOSE + "SELECT g AS window_id, gen AS generator, closure, s AS support FROM cl"
 
-# ------------------------------------------------------------------ all sizes
-
-# the SQL above stops at two or three items, and so do the queries that it checks; these mine until a level is empty
 
-
-def _whole_utility(spark, d):
-    u = cut(utility.utility_database(fx.order_utilities(spark, d, "p_brand")))
-    return utility.high_utility_generators(utility.mine_utilities(u, 0, max_size=None), u, 0)
+def _streamed(spark, d):
+    """Generators of event-time days from a finished stream over the events table, late rows included up to the watermark."""
+    # a pattern, as a stream's path may be a folder or a pattern but no single file
+    events = spark.readStream.schema(load(spark, d, "events").schema).parquet(f"{d}/events.parque[t]").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    out = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    streams.start(events, f"{out}/rows", f"{out}/state", 5, tid="user_id", item="event_type", size="7 days", slide="7 days", once=True).awaitTermination()
+    return spark.read.schema("window_start timestamp, items string, size int, support long").option("recursiveFileLookup", "true").parquet(f"{out}/rows").select(F.datediff(F.col("window_start").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("window_day"), "items", "size", "support")
 
 
-def _whole_rare(spark, d, side):
-    return _drop(itemsets.minimal_rare(_mine1(spark, d, side, "0.0053", max_size=None))).withColumn("side", F.lit(side))
-
-
-Q["minimal_rare_whole"] = lambda spark, d: _drop(itemsets.minimal_rare(itemsets.mine(itemsets.as_database(fx.order_brands(spark, d)), "0.02", max_size=None)))
-Q["minimal_rare_both_sides_whole"] = lambda spark, d: _whole_rare(spark, d, "floor").unionAll(_whole_rare(spark, d, "ceil"))
-Q["itemset_utility_whole"] = _whole_utility
-Q["minimal_generators_words_whole"] = lambda spark, d: _drop(itemsets.minimal_generators(itemsets.mine(itemsets.as_database(fx.document_words(spark, d)), "0.3", max_size=None), "no_full_support_item"))
-Q["windowed_generators_tumbling_whole"] = lambda spark, d: windows.windowed_generators(fx.user_days(spark, d), "day", 7, 7, 5, max_size=None)
-Q["windowed_generators_sliding_whole"] = lambda spark, d: windows.windowed_generators(fx.user_days(spark, d), "day", 6, 2, 8, max_size=None)
+Q["streamed_generators"] = _streamed
+S["streamed_generators"] = levels_sql("SELECT DISTINCT user_id AS tid, event_type AS item, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 7 * 7 AS w FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL", "5", "w") + (
+    "SELECT g AS window_day, array_to_string(items, '|') AS items, k AS size, s AS support FROM gn WHERE DATE '1970-01-01' + CAST(g + 7 AS INTEGER) <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+)
 
 # ------------------------------------------------------------------ audit
 
@@ -306,7 +310,18 @@ def _audit(spark, d):
 
 
 Q["audit_generators"] = _audit
-S["audit_generators"] = L1 + f", fr AS ({three('f')}), gg AS ({three('g')}) SELECT items, unnest(['not_minimal', 'extra']) AS finding FROM fr WHERE items NOT IN (SELECT items FROM gg)"
+S["audit_generators"] = L1 + "SELECT array_to_string(items, '|') AS items, unnest(['not_minimal', 'extra']) AS finding FROM fr WHERE items NOT IN (SELECT items FROM gn)"
+
+
+def _audit_pairs(spark, d):
+    """Pairs of which each generator is claimed to be its own closure: those with a larger closure are found."""
+    m = _mine1(spark, d, closures=True)
+    given = _drop(itemsets.minimal_generators(m, "never")).select(F.col("items").alias("generator"), F.col("items").alias("closure"))
+    return audit.audit_closures(m, given)
+
+
+Q["audit_closures"] = _audit_pairs
+S["audit_closures"] = L1 + CLOSE + "SELECT gen AS generator, CASE WHEN gen = '' THEN closure ELSE gen END AS closure, CASE WHEN gen = '' THEN 'missing' ELSE 'bad_closure' END AS finding FROM cl WHERE gen = '' OR gen <> closure"
 Q["pattern_set_diff"] = lambda spark, d: audit.pattern_set_difference(_drop(itemsets.minimal_generators(_mine1(spark, d, "floor", "0.0053"), "never")), _drop(itemsets.minimal_generators(_mine1(spark, d, "ceil", "0.0053"), "never")))
 S["pattern_set_diff"] = (
     f"WITH a AS ({S['minimal_generators_floor']}), b AS ({S['minimal_generators_ceil']}) SELECT items, CASE WHEN b.items IS NULL THEN 'only_left' WHEN a.items IS NULL THEN 'only_right' ELSE 'support' END AS side, "
