@@ -1,13 +1,14 @@
 """Schemas that drift between files: one consistent table and a report of every change.
 
 Method: similarity flooding. The schemas of two consecutive files become graphs of
-fields, types and nesting; initial scores of field pairs come from the values the
-files share and from names; scores propagate over the pair graph to convergence, and
-consistent correspondences are selected. Values are then cast and united.
+fields, values, names, types and nesting; scores start at the values the
+files share, at names and at equal types; scores propagate over the pair graph to convergence, and
+consistent correspondences are selected by the flooded scores. Values are then cast and united.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ NUMERIC = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 DELIMITERS = [",", ";", "\t", "|"]
 KINDS = ["number", "text", "boolean", "list", "object"]
 SALT = 16
+#: Shares that edges to values, names, types and containers pass on: equal values say more than equal structure.
+FLOW = (1.0, 0.5, 0.25, 0.25)
+#: Votes by which two lines are one run, and the share of an unchanged field's flooded score that a renamed one needs.
+ENOUGH, ACCEPT = 1.5, 0.25
 
 
 def _cells_of(header: Column, line: Column, delim: Column) -> Column:
@@ -110,90 +115,95 @@ def normal_value() -> Column:
 def shared_rows(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """(file_id, prev_id, line_no, prev_line): lines of a file that export a run of the previous file again.
 
-    Two lines are the same run if they share at least two values that occur in one line only of
-    either file; so every join is one to one, whatever the size of the files.
+    Two lines are the same run if each is the other's best partner by values that occur in one line only of either
+    file, so every join is one to one, whatever the size of the files. A value of four characters or more weighs 1,
+    a shorter one, which may agree by chance, a half; ENOUGH is asked for.
     """
-    once = cells.where("nv IS NOT NULL AND length(nv) >= 4").groupBy("file_id", "nv").agg(F.min("line_no").alias("line_no"), F.max("line_no").alias("last")).where("line_no = last").drop("last")
+    once = cells.where("nv IS NOT NULL").groupBy("file_id", "nv").agg(F.min("line_no").alias("line_no"), F.max("line_no").alias("last")).where("line_no = last").drop("last")
     old = once.select(F.col("file_id").alias("prev_id"), "nv", F.col("line_no").alias("prev_line"))
-    votes = once.join(pairs.select("file_id", "prev_id"), "file_id").join(old, ["prev_id", "nv"]).groupBy("file_id", "prev_id", "line_no", "prev_line").agg(F.count("*").alias("votes")).where("votes >= 2")
-    best = votes.groupBy("file_id", "prev_id", "line_no").agg(F.max(F.struct("votes", -F.col("prev_line"))).alias("m"))
-    return best.select("file_id", "prev_id", "line_no", (-F.col("m.col2")).alias("prev_line"))
+    weight = F.when(F.length("nv") >= 4, 1.0).otherwise(0.5)
+    votes = once.join(pairs.select("file_id", "prev_id"), "file_id").join(old, ["prev_id", "nv"]).groupBy("file_id", "prev_id", "line_no", "prev_line").agg(F.sum(weight).alias("votes")).where(F.col("votes") >= ENOUGH)
+    votes = cut(votes)
+    best = votes.groupBy("file_id", "prev_id", "line_no").agg(F.max(F.struct("votes", -F.col("prev_line"))).alias("m")).select("file_id", "prev_id", "line_no", (-F.col("m.col2")).alias("prev_line"))
+    back = votes.groupBy("file_id", "prev_id", "prev_line").agg(F.max(F.struct("votes", -F.col("line_no"))).alias("m")).select("file_id", "prev_id", "prev_line", (-F.col("m.col2")).alias("line_no"))
+    return best.join(back, ["file_id", "prev_id", "line_no", "prev_line"])
 
 
 def _bigrams(s: str) -> set[str]:
     return {s[i : i + 2] for i in range(len(s) - 1)}
 
 
-def flood(old: dict[str, str], new: dict[str, str], start: dict[tuple[str, str], float], eps: float = 1e-4, rounds: int = 200) -> dict[tuple[str, str], float]:
-    """Similarity flooding between two schemas {field: type}; start: initial scores of field pairs.
+def flood(old: dict[str, str], new: dict[str, str], values: np.ndarray, names: np.ndarray, eps: float = 1e-6, rounds: int = 500) -> np.ndarray:
+    """Similarity flooding between two schemas {field: type}; the score of each pair of fields (old by row, new by column).
 
-    Nodes of a schema graph are its fields, containers and types, edges lead from a
-    container to its fields and from a field to its type. Scores of node pairs flow along
-    equally named edges in both directions, weighted by one over the number of such edges.
+    Nodes of a schema graph are its fields with their values, names, types and containers. Field pairs start with nothing:
+    scores start at pairs of values (values: agreement of the runs both files hold), of names (names: likeness), of equal
+    types and equal containers, and flow along equally named edges in both directions until they settle. What leaves a pair
+    of types or containers is shared among its pairs of fields. Scores are scaled by the largest one of each round.
     """
-    part = lambda f: f.rpartition(".")[0]
-    links: list[tuple[tuple, tuple]] = []
-    for a, ta in old.items():
-        for b, tb in new.items():
-            links.append((("in", part(a), part(b)), ("f", a, b)))
-            links.append((("f", a, b), ("t", ta, tb)))
-    weight: dict[tuple, list[tuple[tuple, float]]] = {}
-    out: dict[tuple, dict[str, int]] = {}
-    for x, y in links:
-        out.setdefault(x, {}).setdefault(y[0], 0)
-        out[x][y[0]] += 1
-        out.setdefault(y, {}).setdefault(x[0] + "'", 0)
-        out[y][x[0] + "'"] += 1
-    for x, y in links:
-        weight.setdefault(y, []).append((x, 1 / out[x][y[0]]))
-        weight.setdefault(x, []).append((y, 1 / out[y][x[0] + "'"]))
-
-    def first(n: tuple) -> float:
-        kind, a, b = n
-        return start.get((a, b), 0.0) if kind == "f" else float(a == b)
-
-    seed = {n: first(n) for n in out}
-    now = dict(seed)
+    if not old or not new:
+        return np.zeros((len(old), len(new)))
+
+    def ends(a: list[str], b: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        x, y = list(dict.fromkeys(a)), list(dict.fromkeys(b))
+        at = np.ix_([x.index(v) for v in a], [y.index(v) for v in b])
+        return at, np.array([[float(u == v) for v in y] for u in x])
+
+    def gathered(at: tuple[np.ndarray, np.ndarray], shape: tuple[int, ...], f: np.ndarray) -> np.ndarray:
+        out = np.zeros(shape)
+        np.add.at(out, at, f)
+        return out
+
+    own = [np.asarray(values, float), np.asarray(names, float)]
+    many = [ends(list(old.values()), list(new.values())), ends([f.rpartition(".")[0] for f in old], [f.rpartition(".")[0] for f in new])]
+    share = [gathered(at, s.shape, np.ones((len(old), len(new)))) for at, s in many]
+    field, leaf, hub = np.zeros((len(old), len(new))), list(own), [s for _, s in many]
     for _ in range(rounds):
-        nxt = {n: seed[n] + now[n] + sum(w * (now[m] + seed[m]) for m, w in weight[n]) for n in now}
-        top = max(nxt.values(), default=0) or 1.0
-        nxt = {n: v / top for n, v in nxt.items()}
-        moved = max((abs(nxt[n] - now[n]) for n in now), default=0)
-        now = nxt
+        inflow = sum(c * (s + n) for c, s, n in zip(FLOW, own, leaf, strict=False)) + sum(c * ((s + n) / w)[at] for c, (at, s), n, w in zip(FLOW[2:], many, hub, share, strict=True))
+        now = [field + inflow, *(s + n + c * field for c, s, n in zip(FLOW, own, leaf, strict=False)), *(s + n + c * gathered(at, s.shape, field) for c, (at, s), n in zip(FLOW[2:], many, hub, strict=True))]
+        top = max(x.max() for x in now) or 1.0
+        now = [x / top for x in now]
+        moved = max(abs(x - y).max() for x, y in zip(now, [field, *leaf, *hub], strict=True))
+        field, leaf, hub = now[0], now[1:3], now[3:]
         if moved < eps:
             break
-    return {(n[1], n[2]): v for n, v in now.items() if n[0] == "f"}
+    return field
 
 
 def _select(pdf: pd.DataFrame, accept: float) -> pd.DataFrame:
-    """Correspondences of one file with its predecessor: (file_id, old_name, new_name, score)."""
+    """Correspondences of one file with its predecessor: (file_id, old_name, new_name, score).
+
+    Flooded scores decide: fields of one container are matched stably, best scores first, and accepted from `accept` times the
+    median score of the unchanged fields (of the best score, if no field is unchanged); score is that relation, 1 at most.
+    """
     old = dict(pdf.loc[pdf["side"] == "old", ["a", "type"]].itertuples(index=False))
     new = dict(pdf.loc[pdf["side"] == "new", ["a", "type"]].itertuples(index=False))
     ev = {(r.a, r.b): (r.agree, r.n) for r in pdf[pdf["side"] == "pair"].itertuples()}
-    gone, come = [f for f in old if f not in new], [f for f in new if f not in old]
-    start = {}
-    for a in old:
-        for b in new:
+    values, names = np.zeros((len(old), len(new))), np.zeros((len(old), len(new)))
+    for i, a in enumerate(old):
+        for j, b in enumerate(new):
             if a == b:
-                start[a, b] = 1.0
-            elif a in gone and b in come:
+                values[i, j] = names[i, j] = 1.0
+            elif a not in new and b not in old:
                 agree, n = ev.get((a, b), (0, 0))
+                # agreement over n shared values, shrunk where they are few; names say nothing against values that differ
+                values[i, j] = agree / (n + 0.25)
                 x, y = _bigrams(a.rpartition(".")[2]), _bigrams(b.rpartition(".")[2])
-                name = len(x & y) / max(1, len(x | y))
-                # agreement over n shared values, shrunk where they are few
-                start[a, b] = 0.85 * agree / (n + 0.25) + 0.05 * name + 0.1 * (old[a] == new[b])
-    score = flood(old, new, start)
-    rows, used_a, used_b = [], set(), set()
-    free = sorted(((score[a, b], start[a, b], a, b) for a in gone for b in come if a.rpartition(".")[0] == b.rpartition(".")[0]), key=lambda t: (-t[1], -t[0], t[2], t[3]))
-    for s, s0, a, b in free:
-        if a not in used_a and b not in used_b and s0 >= accept:
-            used_a.add(a)
-            used_b.add(b)
-            rows.append((int(pdf["file_id"].iloc[0]), a, b, float(s)))
+                names[i, j] = 0.0 if 2 * agree < n else len(x & y) / max(1, len(x | y))
+    score = flood(old, new, values, names)
+    at_old, at_new = {f: i for i, f in enumerate(old)}, {f: j for j, f in enumerate(new)}
+    firm = [score[at_old[f], at_new[f]] for f in old if f in new]
+    unit = float(np.median(firm)) if firm else float(score.max(initial=0.0))
+    free = sorted(((float(score[i, j]), a, b) for a, i in at_old.items() if a not in new for b, j in at_new.items() if b not in old and a.rpartition(".")[0] == b.rpartition(".")[0]), key=lambda t: (-t[0], t[1], t[2]))
+    rows, used = [], set()
+    for s, a, b in free:
+        if ("old", a) not in used and ("new", b) not in used and s > 0 and s >= accept * unit:
+            used |= {("old", a), ("new", b)}
+            rows.append((int(pdf["file_id"].iloc[0]), a, b, min(1.0, s / unit)))
     return pd.DataFrame(rows, columns=["file_id", "old_name", "new_name", "score"])
 
 
-def correspondences(cells: DataFrame, fields: DataFrame, pairs: DataFrame, accept: float = 0.6) -> DataFrame:
+def correspondences(cells: DataFrame, fields: DataFrame, pairs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """(file_id, old_name, new_name, score): fields that carry the same values under a new name.
 
     A group handed to the flooding holds one schema pair, so its size is bounded by the schema, not by rows.
@@ -247,24 +257,23 @@ def changes(lines: DataFrame) -> DataFrame:
 
 
 def canonical_names(fields: DataFrame, names: DataFrame) -> dict[str, str]:
-    """{field: canonical field} over all files: names linked by renames, named after the most frequent one.
+    """{field: canonical field} over all files: names linked by renames, the most frequent renames first, named after the most frequent one.
 
-    Works on distinct names and distinct renames, whose number is bounded by the schemas, not by the rows.
+    Two names that one file holds side by side are never united, so that no value is lost; such a rename stays out.
+    Works on distinct names, renames and neighbours, whose number is bounded by the schemas, not by the rows.
     """
     freq = {r[0]: r[1] for r in fields.groupBy("field_name").count().collect()}
-    up = {f: f for f in freq}
-
-    def top(f: str) -> str:
-        while up[f] != f:
-            f = up[f]
-        return f
-
-    for a, b in sorted((r[0], r[1]) for r in names.select("old_name", "new_name").distinct().collect()):
-        x, y = top(a), top(b)
-        if x != y:
-            keep, give = sorted((x, y), key=lambda f: (-freq[f], f))
-            up[give] = keep
-    return {f: top(f) for f in freq}
+    other = fields.select("file_id", F.col("field_name").alias("other"))
+    beside = {(r[0], r[1]) for r in fields.join(other, "file_id").where("field_name < other").select("field_name", "other").distinct().collect()}
+    up = {f: {f} for f in freq}
+    links = names.groupBy("old_name", "new_name").count().collect()
+    for a, b in ((r[0], r[1]) for r in sorted(links, key=lambda r: (-r[2], r[0], r[1]))):
+        x, y = up[a], up[b]
+        if x is not y and not any((min(p, q), max(p, q)) in beside for p in x for q in y):
+            x |= y
+            for f in y:
+                up[f] = x
+    return {f: min(g, key=lambda q: (-freq[q], q)) for f, g in up.items()}
 
 
 def consistent_table(lines: DataFrame) -> DataFrame:
