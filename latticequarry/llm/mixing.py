@@ -2,7 +2,8 @@
 
 Method: weighted fair queueing. Each shuffled document gets a virtual finish time, the
 cumulative tokens of its source divided by the source's weight; documents of all sources
-are range-sorted by it and cut off at the total budget.
+are range-sorted by it and cut off at the total budget. A document that crosses the end is
+passed over and later ones of its source that still fit take its place.
 """
 
 from __future__ import annotations
@@ -37,35 +38,70 @@ def plan(documents: DataFrame, targets: DataFrame, budget: float | None = None)
     return both.select("source", weight.alias("weight"), "max_repeats", "total", "docs", (F.least(limit, F.lit(float(budget))) if budget is not None else limit).alias("budget"))
 
 
+def _running(rows: DataFrame) -> DataFrame:
+    """rows with run: tokens of the source up to and including the row, in order of (repeat, h, doc_id).
+
+    Prefix sums run in two steps, over hash buckets and within them, so a source of any size stays spread out.
+    """
+    sums = rows.groupBy("source", "repeat", "bucket").agg(F.sum("tokens").alias("t"))
+    over = Window.partitionBy("source").orderBy("repeat", "bucket")
+    before = sums.withColumn("before", F.coalesce(F.sum("t").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
+    inside = Window.partitionBy("source", "repeat", "bucket").orderBy("h", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("part", F.sum("tokens").over(inside)).join(before, ["source", "repeat", "bucket"]).withColumn("run", F.col("before") + F.col("part")).drop("part", "before")
+
+
 def mixture(documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 7) -> DataFrame:
     """(doc_id, source, repeat, tokens, finish): the mixture in order of virtual finish time.
 
-    documents: (doc_id, source, tokens). A source is repeated only after all its documents were used, at most
-    max_repeats times in all. Sources that no target names (null ones too) and documents without tokens are left
-    out. Prefix sums run in two steps, over hash buckets and within them, so a source of any size stays spread out.
+    documents: (doc_id, source, tokens); a repeated id is a document of its own. A source is repeated only after all its
+    documents were used, at most max_repeats times in all. Sources that no target names (null ones too) and documents
+    without tokens are left out. No source exceeds its share of the budget; what it lacks is less than its smallest
+    document that is left in the last repeat (see shares).
     """
     named = documents.select("doc_id", source_key(F.col("source")).alias("source"), "tokens").where("tokens > 0 AND source IS NOT NULL")
     p = cut(plan(named, targets, budget))
     # one row per target source
-    docs = named.join(F.broadcast(p), "source")
-    uses = F.least(F.col("max_repeats"), F.ceil(F.col("budget") * F.col("weight") / F.col("total")).cast("int"))
-    rows = docs.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), uses))))
+    docs = named.join(F.broadcast(p), "source").withColumn("copy", F.monotonically_increasing_id())
+    due = F.floor(F.col("budget") * F.col("weight") * (1 + 1e-12)).cast("long")
+    uses = F.least(F.col("max_repeats"), F.ceil(due / F.col("total")).cast("int"))
+    rows = docs.withColumn("due", due).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), uses))))
     h = F.shiftrightunsigned(F.xxhash64("doc_id", "repeat", F.lit(seed)), 1)
     buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / PER_BUCKET)).cast("long")
     rows = rows.withColumn("h", h).withColumn("bucket", F.floor(F.col("h") / (F.lit(float(1 << 63)) / buckets)).cast("long"))
-    sums = rows.groupBy("source", "repeat", "bucket").agg(F.sum("tokens").alias("t"))
-    over = Window.partitionBy("source").orderBy("repeat", "bucket")
-    before = sums.withColumn("before", F.coalesce(F.sum("t").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
-    inside = Window.partitionBy("source", "repeat", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    ran = rows.withColumn("run", F.sum("tokens").over(inside)).join(before, ["source", "repeat", "bucket"])
-    finish = (F.col("before") + F.col("run")) / F.col("weight")
-    return ran.withColumn("finish", finish).where("finish <= budget * (1 + 1e-12)").select("doc_id", "source", "repeat", "tokens", "finish").orderBy("finish", "doc_id")
+    ran = cut(_running(rows.select("source", "doc_id", "copy", "tokens", "repeat", "h", "bucket", "weight", "due")))
+    taken = [ran.where("run <= due")]
+    # the rest of the repeat in which the share ends: what fits goes in, in the same order, until nothing does
+    ends = ran.where("run > due").groupBy("source").agg(F.min("repeat").alias("last"))
+    rest = ran.where("run > due").join(F.broadcast(ends), "source").where("repeat = last").drop("last", "run")  # one row per source
+    while True:
+        got = taken[-1].groupBy("source").agg(F.max("run").alias("got"))
+        if len(taken) > 1:
+            got = level.join(got, "source", "left").select("source", F.col("level") + F.coalesce("got", F.lit(0)))
+        level = cut(p.select("source").join(got.toDF("source", "got"), "source", "left").select("source", F.coalesce("got", F.lit(0)).alias("level")))
+        rest = cut(_running(rest.drop("run", "level").join(F.broadcast(level), "source").where("tokens <= due - level")))  # one row per source
+        fits = rest.where("run <= due - level")
+        if fits.isEmpty():
+            break
+        taken.append(fits)
+        rest = rest.where("run > due - level")
+    cols = ["doc_id", "source", "repeat", "tokens"]
+    out = taken[0].select(*cols, (F.col("run") / F.col("weight")).alias("finish"))
+    for t in taken[1:]:
+        out = out.unionAll(t.select(*cols, ((F.col("level") + F.col("run")) / F.col("weight")).alias("finish")))
+    return out.orderBy("finish", "doc_id")
+
 
+def shares(mixed: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, target_share, max_repeats, documents, tokens, repeats, actual_share, smallest_left) of every target source.
 
-def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, documents, tokens, repeats, actual_share) of every target source."""
+    smallest_left: tokens of the source's smallest document that its last repeat didn't use, null if none is left; where a
+    source lies below its target, this document didn't fit any more.
+    """
     t = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
     g = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.max("repeat").alias("repeats"))
     all_ = mixed.agg(F.sum("tokens").alias("all"))
-    out = t.join(g, "source", "left").crossJoin(F.broadcast(all_))  # one row
-    return out.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("repeats", F.lit(0)).alias("repeats"), F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"))
+    own = documents.select("doc_id", source_key(F.col("source")).alias("source"), F.col("tokens").alias("size")).where("size > 0")
+    used = mixed.join(F.broadcast(g.select("source", F.col("repeats").alias("repeat"))), ["source", "repeat"], "left_semi").select("source", "doc_id")  # one row per source
+    left = own.join(used, ["source", "doc_id"], "left_anti").groupBy("source").agg(F.min("size").alias("smallest_left"))
+    out = t.join(g, "source", "left").join(left, "source", "left").crossJoin(F.broadcast(all_))  # one row
+    return out.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("repeats", F.lit(0)).alias("repeats"), F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"), "smallest_left")

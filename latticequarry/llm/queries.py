@@ -60,13 +60,17 @@ def p8_containers(spark, sf_dir):
     return packing.containers(p8_contents(spark, sf_dir), load(spark, sf_dir, "pack_capacities"))
 
 
+def _sized(spark, sf_dir):
+    return cut(tokens.token_counts(load(spark, sf_dir, "documents"), ["doc_id", "source"]))
+
+
 def p9_mixture(spark, sf_dir):
-    sized = cut(tokens.token_counts(load(spark, sf_dir, "documents"), ["doc_id", "source"]))
-    return mixing.mixture(sized, load(spark, sf_dir, "mix_targets"))
+    return mixing.mixture(_sized(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
 
 
 def p9_shares(spark, sf_dir):
-    return mixing.shares(p9_mixture(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
+    sized, targets = _sized(spark, sf_dir), load(spark, sf_dir, "mix_targets")
+    return mixing.shares(cut(mixing.mixture(sized, targets)), sized, targets)
 
 
 def _segments(spark, sf_dir):
