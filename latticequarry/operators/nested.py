@@ -8,6 +8,7 @@ keys travel to the children by vectorised take.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -77,7 +78,7 @@ SCHEMA = "line_id long, child string, algorithm string, pos int, sub_pos int, va
 def _positions(lists: pa.ListArray, parents: pa.Array) -> pa.Array:
     """Place of each flattened element in its own list, from the list offsets."""
     starts = pc.subtract(lists.offsets, lists.offsets[0]).cast(pa.int64())
-    return pc.subtract(pa.array(range(len(parents)), pa.int64()), pc.take(starts, parents.cast(pa.int64())))
+    return pc.subtract(pa.array(np.arange(len(parents), dtype=np.int64)), pc.take(starts, parents.cast(pa.int64())))
 
 
 def _explode(lists: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -94,7 +95,7 @@ def _explode(lists: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
 def _table(line: pa.Array, child: str, algorithm: pa.Array, pos: pa.Array, sub: pa.Array, value: pa.Array) -> pa.RecordBatch:
     n = len(line)
     return pa.RecordBatch.from_arrays(
-        [line, pa.array([child] * n, pa.string()), algorithm.cast(pa.string()), pos.cast(pa.int32()), sub.cast(pa.int32()), value.cast(pa.string())],
+        [line, pa.repeat(pa.scalar(child, pa.string()), n), algorithm.cast(pa.string()), pos.cast(pa.int32()), sub.cast(pa.int32()), value.cast(pa.string())],
         ["line_id", "child", "algorithm", "pos", "sub_pos", "value"],
     )
 

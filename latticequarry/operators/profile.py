@@ -132,3 +132,10 @@ def bitmap_support(db: DataFrame, items: list[str], positions: Column) -> DataFr
         return per.agg(F.coalesce(F.sum(F.expr("bitmap_count(m)")), F.lit(0)).alias("support"))
     both = per.groupBy("b").agg(F.expr("bitmap_and_agg(m)").alias("m"), F.count("*").alias("k")).where(F.col("k") == len(set(items)))
     return both.agg(F.coalesce(F.sum(F.expr("bitmap_count(m)")), F.lit(0)).alias("support"))
+
+
+def top_items(db: DataFrame, k: int) -> DataFrame:
+    """(item, support, percent) of the k most frequent items, ties by name."""
+    n = db.agg(F.countDistinct("tid").alias("n"))
+    best = item_supports(db).orderBy(F.desc("support"), "item").limit(k)
+    return best.crossJoin(F.broadcast(n)).select("item", "support", (100 * F.col("support") / F.col("n")).alias("percent"))  # one row

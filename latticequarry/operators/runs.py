@@ -130,18 +130,20 @@ def design_effect(runs: DataFrame) -> DataFrame:
 
 def conformal_interval(residuals: DataFrame, group: str, by: str, alpha: float = 0.10) -> DataFrame:
     """(by, k, lo, hi): split-conformal quantiles of residual r with alpha tightened to alpha k / (k + 1), k groups."""
-    k = residuals.groupBy(by).agg(F.countDistinct(group).alias("k"))
-    j = residuals.join(k, by)
-    # alpha differs by row of `by`, so quantiles are taken from the sorted residuals at their own place (linear between two)
-    g = j.groupBy(by, "k").agg(F.array_sort(F.collect_list("r")).alias("s"))
+    # alpha differs by row of `by`, so quantiles are read off the counted residuals at their own place (linear between two)
+    n = residuals.where("r IS NOT NULL").groupBy(by, "r").agg(F.count("*").alias("c"))
+    over = Window.partitionBy(by).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    k = residuals.groupBy(by).agg(F.countDistinct(group).alias("k"), F.count("r").alias("n"))
+    s = n.withColumn("end", F.sum("c").over(over)).join(k, by)  # residual r stands at places end - c to end - 1
     a = F.lit(alpha) * F.col("k") / (F.col("k") + 1)
 
     def at(q: Column) -> Column:
-        p = q * (F.size("s") - 1)
-        lo = F.floor(p).cast("int")
-        return F.get("s", lo) + (p - lo) * (F.coalesce(F.get("s", lo + 1), F.get("s", lo)) - F.get("s", lo))
+        p = q * (F.col("n") - 1)
+        low, high = F.floor(p), F.least(F.floor(p) + 1, F.col("n") - 1)
+        here = lambda x: F.max(F.when((x >= F.col("end") - F.col("c")) & (x < F.col("end")), F.col("r")))
+        return here(low) + F.max(p - F.floor(p)) * (here(high) - here(low))
 
-    return g.select(by, "k", at(a / 2).alias("lo"), at(1 - a / 2).alias("hi"))
+    return s.groupBy(by, "k").agg(at(a / 2).alias("lo"), at(1 - a / 2).alias("hi"))
 
 
 def pooled_interval(residuals: DataFrame, group: str, by: str, alpha: float = 0.10) -> DataFrame:

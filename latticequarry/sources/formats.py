@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COMMENT = r"^\s*[#@%]"
-#: Cells that mean yes in one-hot tables.
+# Cells that mean yes in one-hot tables, and delimiters in the order in which ties are decided.
 TRUTHY = ["1", "1.0", "true", "yes", "y", "t", "x"]
 DELIMITERS = [",", ";", "\t", "|"]
-#: Names of first columns that mark a header of (transaction, item) pairs.
-ID_NAMES = {"id", "tid", "order", "order_id", "orderid", "transaction", "transaction_id", "invoice", "invoice_id", "basket", "basket_id", "customer", "customer_id"}
+#: A first cell that names an identifier or what holds items marks a header of (transaction, item) pairs: a rule of our own.
+ID_NAME = re.compile(r"(^|[^a-z])t?id$|[a-z]id$|no$|^(order|transaction|invoice|basket|customer|session|visit)s?$")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +68,7 @@ def sniff_csv(lines: list[str]) -> tuple[str, str, bool]:
     if width >= 2 and body and all(len(r) == width for r in body) and all(c in TRUTHY or c in ("", "0", "0.0", "false", "no", "n", "f") for c in flat):
         return "onehot", d, True
     if width == 2 and all(len(r) == 2 for r in cells):
-        head = cells[0][0].lower() in ID_NAMES
+        head = ID_NAME.search(cells[0][0].strip().lower()) is not None
         keys = [r[0] for r in cells[head:]]
         if keys and len(set(keys)) < 0.9 * len(keys):
             return "long", d, head
@@ -148,10 +148,10 @@ def parse_patterns(lines: DataFrame, style: str) -> DataFrame:
 def append_missing(new: DataFrame, path: str, key: list[str]) -> int:
     """Append the rows whose key the parquet table at `path` lacks; the number appended. Calling it again appends nothing."""
     spark = new.sparkSession
-    try:
-        old = spark.read.parquet(path).select(*key)
-    except Exception:  # no table yet
-        old = None
+    # a read that fails for another reason than a missing table must not append everything again
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    old = spark.read.parquet(path).select(*key) if there else None
     rows = new.dropDuplicates(key) if old is None else new.dropDuplicates(key).join(old, key, "left_anti")
     rows = rows.persist()
     n = rows.count()
