@@ -290,12 +290,16 @@ def segments(documents: DataFrame, table: np.ndarray, limits: Limits = Limits())
     return spread(documents.select("doc_id", "text", label_code(F.col("lang")).alias("label"))).mapInPandas(run, SEGMENTS)
 
 
-def document_languages(segs: DataFrame) -> DataFrame:
-    """(doc_id, label, lang, confidence, share, n_langs): the language with most sentences of each document."""
+def document_languages(segs: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, label, lang, confidence, share, n_langs): the language with most sentences of each document.
+
+    A document without a full sentence comes out as `und` with confidence and share 0 and no language.
+    """
     per = segs.groupBy("doc_id", "label", "lang").agg(F.sum("n_sentences").alias("n"), F.avg("confidence").alias("confidence"))
-    return per.groupBy("doc_id", "label").agg(F.max(F.struct("n", "confidence", "lang")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("n_langs")).select(
-        "doc_id", "label", F.col("m.lang").alias("lang"), F.col("m.confidence").alias("confidence"), (F.col("m.n") / F.col("all")).alias("share"), "n_langs"
-    )
+    best = per.groupBy("doc_id").agg(F.max(F.struct("n", "confidence", "lang")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("n_langs"))
+    every = documents.select("doc_id", label_code(F.col("lang")).alias("label")).join(best, "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return every.select("doc_id", "label", F.coalesce("m.lang", F.lit("und")).alias("lang"), zero(F.col("m.confidence")).alias("confidence"), zero(F.col("m.n") / F.col("all")).alias("share"), F.coalesce("n_langs", F.lit(0)).alias("n_langs"))
 
 
 def wrong_labels(segs: DataFrame) -> DataFrame:

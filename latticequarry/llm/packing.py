@@ -75,9 +75,10 @@ def contents(items: DataFrame, capacities: DataFrame, well_filled: float = 0.995
     """
     # the capacities are a parameter table: one row per kind of container
     caps = capacities.where("capacity_tokens >= 1").select("capacity_id", "capacity_tokens").distinct()
-    named = items.where("doc_id IS NOT NULL AND tokens > 0").withColumn("copy", F.monotonically_increasing_id())
+    # copies are numbered, so that an item's shard is the same in every run
+    named = items.where("doc_id IS NOT NULL AND tokens > 0").groupBy("doc_id", "tokens").agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
     pieces = named.crossJoin(F.broadcast(caps)).withColumn("piece", F.explode(F.expr("sequence(0, int((tokens - 1) div capacity_tokens))")))
-    pieces = pieces.select("capacity_id", "capacity_tokens", "doc_id", "piece", F.concat_ws(".", "doc_id", "piece", "copy").alias("unit"), F.least(F.col("capacity_tokens").cast("long"), F.col("tokens") - F.col("piece") * F.col("capacity_tokens")).alias("size"))
+    pieces = pieces.select("capacity_id", "capacity_tokens", "doc_id", "piece", F.concat_ws(".", "doc_id", "tokens", "piece", "copy").alias("unit"), F.least(F.col("capacity_tokens").cast("long"), F.col("tokens") - F.col("piece") * F.col("capacity_tokens")).alias("size"))
     pieces = cut(pieces)
     first = cut(_round(pieces.where("size < capacity_tokens").select("capacity_id", "capacity_tokens", "unit", "size"), "a"))
     boxes = first.groupBy("capacity_id", "capacity_tokens", F.col("box").alias("unit")).agg(F.sum("size").alias("size"))

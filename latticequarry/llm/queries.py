@@ -87,7 +87,7 @@ def p10_segments(spark, sf_dir):
 
 
 def p10_documents(spark, sf_dir):
-    return language.document_languages(_segments(spark, sf_dir))
+    return language.document_languages(_segments(spark, sf_dir), load(spark, sf_dir, "documents").select("doc_id", "lang"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_survivors": p6_survivors,
