@@ -147,9 +147,13 @@ def test_training_moves_the_blocking():
     rng = np.random.default_rng(1)
     v = matching.whitened(matching.skip_gram(matching._walks(rows, np.maximum(df, 1e-9), rng), size, 32, rng), df)
     start = matching.whitened(rng.standard_normal((size, 32)), df)
-    a, b = (matching.title_tokens(w) for w in (words[0], words[1]))
-    near = lambda x: float(np.mean([x[i] @ x[j] for i in a for j in a if i != j]) - np.mean(x[a] @ x[b].T))
-    assert near(v) > 0.3 > near(start)
+
+    def near(x):
+        """How much nearer the trigrams of one word are than those of two words."""
+        both = [[matching.title_tokens(w) for w in words[i : i + 2]] for i in range(50)]
+        return float(np.mean([np.mean([x[p] @ x[q] for p in a for q in a if p != q]) - np.mean(x[a] @ x[b].T) for a, b in both]))
+
+    assert near(v) > 0.1 and abs(near(start)) < 0.02
 
 
 def test_many_mistyped_words_are_related(spark):
