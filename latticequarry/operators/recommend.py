@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -62,7 +61,7 @@ class CostModel:
         fit = lambda kind, label, data, **kw: kind(featuresCol="x", labelCol=label, numTrees=trees, minInstancesPerNode=2, maxBins=64, seed=seed, **kw).fit(self._x(data))
         ok = ok.withColumn("rt", F.log10(F.greatest("runtime_s", F.lit(0.01)))).withColumn("mem", F.log10("peak_memory_mb"))
         self.runtime, self.memory = fit(RandomForestRegressor, "rt", ok), fit(RandomForestRegressor, "mem", ok)
-        self.done = fit(RandomForestClassifier, "done", rows)
+        self.done = fit(RandomForestRegressor, "done", rows)  # the mean of 0 and 1 is the chance to complete
 
     def _x(self, rows: DataFrame) -> DataFrame:
         return self.vector.transform(self.index.transform(rows))
@@ -80,14 +79,13 @@ class CostModel:
     def predict(self, candidates: DataFrame) -> DataFrame:
         """(request, algorithm, runtime, runtime_lo, runtime_hi, memory, memory_lo, memory_hi, p_complete) of candidates with all features."""
         rows = self._band(self._band(self._x(candidates), self.runtime, "rt"), self.memory, "mem")
-        rows = self.done.setProbabilityCol("p").setPredictionCol("_p").setRawPredictionCol("_raw").transform(rows)
+        rows = self.done.setPredictionCol("p").transform(rows)
         # the table of means has one row per algorithm
         rows = rows.join(self.means, "algorithm", "left")
         few = F.coalesce("rows", F.lit(0)) < self.least
         out = lambda c, own: F.pow(F.lit(10.0), F.when(few, F.coalesce(own, c)).otherwise(F.col(c)))
         cols = {"runtime": out("rt", "own_rt"), "runtime_lo": out("rt_lo", "own_rt"), "runtime_hi": out("rt_hi", "own_rt"), "memory": out("mem", "own_mem"), "memory_lo": out("mem_lo", "own_mem"), "memory_hi": out("mem_hi", "own_mem")}
-        p = F.udf(lambda v: float(v[1]) if len(v) > 1 else 1.0, "double")  # a vector column has no built-in access; one row per candidate
-        return rows.select("request", "algorithm", *(c.alias(n) for n, c in cols.items()), p("p").alias("p_complete"))
+        return rows.select("request", "algorithm", *(c.alias(n) for n, c in cols.items()), F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0)).alias("p_complete"))
 
 
 def probe_sizes(n: int, sigma: float) -> tuple[str, list[int]]:
