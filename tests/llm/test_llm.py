@@ -165,6 +165,42 @@ def test_many_mistyped_words_are_related(spark):
     assert [(r["h"], r["r"]) for r in matching.title_pairs(df, matching.Settings(meet=0.999))[0].collect()] == [(1, 2)]
 
 
+def test_hopeless_pairs_are_told_without_edits():
+    """hopeless() never refuses what relate() accepts, and spares relate() most pairs of titles that share half of their words."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(1, 13))) for _ in range(80)] + ["part", "two", "7", "ii"]
+
+    def mistyped(title):
+        for _ in range(rnd.randrange(6)):
+            i = rnd.randrange(len(title))
+            title = "x" + title if len(title) < 4 else rnd.choice([title[:i] + title[i + 1 :], title[:i] + rnd.choice("abc x") + title[i:], title[:i] + title[i + 1 : i + 2] + title[i : i + 1] + title[i + 2 :], title[: max(3, i)] if rnd.random() < 0.3 else title])
+        return " ".join(title.split()) or "x"
+
+    def some():
+        w = rnd.choices(words, k=rnd.randrange(1, 11))
+        return " ".join(w[: len(w) // 2] + ["|"] * (len(w) > 3) + w[len(w) // 2 :])
+
+    a = [some() for _ in range(6000)]
+    b = [mistyped(x) if rnd.random() < 0.7 else " ".join(x.split()[: len(x.split()) // 2] + some().split()) for x in a]
+    got, related = matching.hopeless(a, b), np.array([matching.relate(x, y) is not None for x, y in zip(a, b, strict=True)])
+    assert not (got & related).any() and related.sum() > 2000
+    assert got[~related].mean() > 0.4 and len(matching.hopeless([], [])) == 0
+
+
+def test_few_unlike_titles_pass_the_sketch():
+    """Of titles at a trigram cosine of about 0.6 a tenth pass the cut at most, of those at 0.85 all."""
+    rng = np.random.default_rng(2)
+    size = matching.TITLE_TOKENS + matching.OTHER_TOKENS
+    m = matching.Model(np.zeros((size, 1), np.float32), np.ones(size, np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), rng.choice(np.array([-1, 1], np.int8), (matching.TITLE_TOKENS, matching.SKETCH)), 1, 1)
+
+    def passing(same):
+        sets = [rng.choice(matching.TITLE_TOKENS, 200 - same, replace=False) for _ in range(400)]
+        x, y = (m.sketches(s).view(np.uint64) for s in ([t[:100] for t in sets], [np.r_[t[:same], t[100:]] for t in sets]))
+        return float((np.bitwise_count(x ^ y).sum(axis=1) <= matching.APART).mean())
+
+    assert passing(60) < 0.1 and passing(85) > 0.99
+
+
 def test_variants_are_the_same_on_both_sides():
     whole = "mining of key sets in dense web logs | first results from shops | part two"
     cut_off = "mining of key sets in dense web logs fi"
